@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.clusters import cluster_members, describe_clusters, hashed_vectors, tight_clusters, unit_vectors
 from brindle.llm.turns import speaker_turns
 from brindle.sources.tables import table
 
@@ -17,5 +18,17 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_turns(spark, root).select("recording_id", "first_utterance_id", "utterance_count", "speaker_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns}
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return tight_clusters(cluster_members(unit_vectors(table(spark, root, "records"), "id", "embedding")))
+
+
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return describe_clusters(cluster_members(unit_vectors(table(spark, root, "records"), "id", "embedding")))
+
+
+def p5_text_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return describe_clusters(cluster_members(hashed_vectors(table(spark, root, "records"), "id", "text")))
+
+
+QUERIES = {"p5_found": p5_found, "p5_clusters": p5_clusters, "p5_text_clusters": p5_text_clusters, "p2_found": p2_found, "p2_turns": p2_turns}
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.clusters import cluster_members, describe_clusters, hashed_vectors, tight_clusters, unit_vectors
+from brindle.llm.leaks import leaked_items
 from brindle.llm.turns import speaker_turns
 from brindle.sources.tables import table
 
@@ -30,5 +31,16 @@ def p5_text_clusters(spark: SparkSession, root: str) -> DataFrame:
     return describe_clusters(cluster_members(hashed_vectors(table(spark, root, "records"), "id", "text")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_clusters": p5_clusters, "p5_text_clusters": p5_text_clusters, "p2_found": p2_found, "p2_turns": p2_turns}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    leaks = leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leaks.where("contained").select("doc_id", "item_id")
+
+
+def p7_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Items whose tiles cover at least half of them in a document, in whatever order."""
+    leaks = leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leaks.where("2 * covered >= item_words").select("doc_id", "item_id", "covered", "item_words")
+
+
+QUERIES = {"p7_found": p7_found, "p7_coverage": p7_coverage, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_text_clusters": p5_text_clusters, "p2_found": p2_found, "p2_turns": p2_turns}
 SQL: dict[str, str] = {}

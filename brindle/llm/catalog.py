@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.clusters import cluster_members, describe_clusters, hashed_vectors, tight_clusters, unit_vectors
 from brindle.llm.leaks import leaked_items
+from brindle.llm.packing import container_fill, fill_containers
+from brindle.llm.pieces import split_oversized
 from brindle.llm.turns import speaker_turns
 from brindle.sources.tables import table
 
@@ -42,5 +44,17 @@ def p7_coverage(spark: SparkSession, root: str) -> DataFrame:
     return leaks.where("2 * covered >= item_words").select("doc_id", "item_id", "covered", "item_words")
 
 
-QUERIES = {"p7_found": p7_found, "p7_coverage": p7_coverage, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_text_clusters": p5_text_clusters, "p2_found": p2_found, "p2_turns": p2_turns}
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    return fill_containers(table(spark, root, "documents"))
+
+
+def p6_fill(spark: SparkSession, root: str) -> DataFrame:
+    return container_fill(p6_containers(spark, root))
+
+
+def p8_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return split_oversized(table(spark, root, "documents"))
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p8_pieces": p8_pieces, "p7_found": p7_found, "p7_coverage": p7_coverage, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_text_clusters": p5_text_clusters, "p2_found": p2_found, "p2_turns": p2_turns}
 SQL: dict[str, str] = {}

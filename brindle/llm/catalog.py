@@ -9,6 +9,7 @@ from brindle.llm.clusters import cluster_members, describe_clusters, hashed_vect
 from brindle.llm.leaks import leaked_items
 from brindle.llm.packing import container_fill, fill_containers
 from brindle.llm.pieces import split_oversized
+from brindle.llm.pii import find_personal, name_lexicon, redact_personal
 from brindle.llm.turns import speaker_turns
 from brindle.sources.tables import table
 
@@ -56,5 +57,20 @@ def p8_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(table(spark, root, "documents"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p8_pieces": p8_pieces, "p7_found": p7_found, "p7_coverage": p7_coverage, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_text_clusters": p5_text_clusters, "p2_found": p2_found, "p2_turns": p2_turns}
+def _personal(spark: SparkSession, root: str, operator) -> DataFrame:
+    transcript, records = table(spark, root, "transcript"), table(spark, root, "records")
+    lexicon = name_lexicon(transcript, table(spark, root, "recording"))
+    spoken = operator(transcript, "utterance_id", "text", lexicon).withColumn("src_table", F.lit("transcript"))
+    return spoken.unionByName(operator(records, "id", "text", lexicon).withColumn("src_table", F.lit("records")))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return _personal(spark, root, find_personal).select("src_table", "row_key", "pii_type", "mention").distinct()
+
+
+def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return _personal(spark, root, redact_personal).select("src_table", "row_key", "text").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_pieces": p8_pieces, "p7_found": p7_found, "p7_coverage": p7_coverage, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_text_clusters": p5_text_clusters, "p2_found": p2_found, "p2_turns": p2_turns}
 SQL: dict[str, str] = {}

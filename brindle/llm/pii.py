@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.pii_model import ADDRESS_FORMS, DIGITS, FIRST, LAST, TITLES, decode, train
+from brindle.llm.pii_model import ADDRESS_FORMS, DIGITS, EMAILS, FIGURES, FIRST, LAST, NAMES, PLACES, STREETS, TITLES, Scorer, decode, train
 from brindle.llm.pii_samples import labelled_sample
 from brindle.llm.speech import name_words
 
@@ -93,40 +93,68 @@ def name_lexicon(transcript: DataFrame, recording: DataFrame) -> Lexicon:
 
 
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
-_HEADER = re.compile(r"\[([^\n@]{1,90}?) @ [\d:]+\] ?")
-_SENTENCE = re.compile(r"(?<![A-Z]\.)(?<!\bDr\.)(?<!\bMr\.)(?<!\bMs\.)(?<!\bMrs\.)(?<!\bProf\.)(?<!\bTel\.)(?<=[a-z0-9)\]\"'][.?!]) +(?=[A-Z])")
-_FIGURES = re.compile(r"\d[\d ./()-]{4,}\d|@|[\[(]at[\])]| dot |\b(?:(?:" + "|".join(DIGITS.split()) + r"),? ){4}", re.I)
-_PLACE = re.compile("|".join(f"(?:{p.pattern})" for p in ADDRESS_FORMS), re.I)
-_PLACE_CUE = re.compile(r"(?:\d|ty|teen|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)[a-z]? [A-Za-z]|[a-z](?:gasse|straße|strasse|weg|platz|allee) \d|\bvia \w+ \d", re.I)
-_TITLED = re.compile(r"\b(?:" + "|".join(TITLES) + r"|[A-Z])\.? (?=[A-Z][^\W\d_])", re.I)
+_HEADER = re.compile(r"\[([^\n@]{1,90}?), ([A-Z]+) @ [\d:]+\] ?")
+_END = re.compile(r"[.?!] +(?=[A-Z])")
+_NO_END = re.compile(r"(?:\b[A-Z]|\bDr|\bMr|\bMs|\bMrs|\bProf|\bTel|\W)$")
+_RUN = re.compile(r"\d[\d ./()-]{4,}")
+_INITIAL = re.compile(r"[A-Z]\. [A-Z][^\W\d_]")
+_DIGIT_WORDS, _TITLE_WORDS = frozenset(DIGITS.split()), TITLES
+_STREET_WORDS = frozenset([*STREETS.split(), "rue", "chemin", "via", "viale", "calle", "rua", "piazza", "plaza", "platz", "weg", "allee"])
+_STREET_ENDS = ("gasse", "straße", "strasse", "weg", "platz", "allee")
+# Fixed value: first names that are ordinary words when written small.
+ORDINARY = frozenset("will mark hope rose grace may june april august bill frank jack art dawn faith joy rich pat sue chase grant drew miles".split())
+NAME_WORD, DIGIT_WORD, STREET_WORD = 1, 2, 4
 
 
 class Finder:
     """Finds the segments of a text; equal sentences and speaker headers are decoded once per worker."""
 
     def __init__(self, lexicon: Lexicon, weights: dict[str, float]) -> None:
-        self.lexicon, self.weights = lexicon, weights
+        self.lexicon, self.scorer = lexicon, Scorer(weights)
         self.memo: dict[str, tuple] = {}
+        self.cues: dict[str, int] = {}
+
+    def _cue(self, word: str) -> int:
+        """What a word, as it is written, can be a sign of."""
+        low = word.lower()
+        kind = self.lexicon.kind_of(low)
+        cue = NAME_WORD if kind and (low != word or low not in ORDINARY) or low in _TITLE_WORDS else 0
+        cue |= DIGIT_WORD if low in _DIGIT_WORDS else 0
+        cue |= STREET_WORD if low in _STREET_WORDS or low.endswith(_STREET_ENDS) else 0
+        if len(self.cues) > 500_000:
+            self.cues.clear()
+        self.cues[word] = cue
+        return cue
+
+    def _reasons(self, text: str) -> int:
+        """Which types of segment a text can hold at all."""
+        words = _LETTERS.findall(text)
+        known = self.cues.get
+        seen = set(map(known, words))
+        if None in seen:
+            seen = {self._cue(w) if (k := known(w)) is None else k for w in set(words)}
+        cue = 0
+        for k in seen:
+            cue |= k
+        out = NAMES if cue & NAME_WORD or _INITIAL.search(text) else 0
+        if "@" in text or " dot " in text or "[at]" in text or "(at)" in text:
+            out |= EMAILS
+        if _RUN.search(text) or cue & DIGIT_WORD and sum([known(w, 0) & DIGIT_WORD for w in words]) > 4 * DIGIT_WORD:
+            out |= FIGURES
+        if cue & STREET_WORD and any(p.search(text) for p in ADDRESS_FORMS):
+            out |= PLACES
+        return out
 
-    def _decode(self, text: str) -> tuple:
+    def _decode(self, text: str, reasons: int | None = None) -> tuple:
         found = self.memo.get(text)
         if found is None:
-            found = tuple(decode(text, self.lexicon.kind_of, self.weights))
+            reasons = self._reasons(text) if reasons is None else reasons
+            found = tuple(decode(text, self.lexicon.kind_of, self.scorer, reasons)) if reasons else ()
             if len(self.memo) >= MEMO_ROWS:
                 self.memo.clear()
             self.memo[text] = found
         return found
 
-    def _possible(self, text: str) -> bool:
-        """Whether a sentence can hold a segment at all: a word of a name, a title, figures, a spoken address."""
-        known = self.lexicon.memo.get
-        kind_of = self.lexicon.kind_of
-        for w in _LETTERS.findall(text.lower()):
-            k = known(w)
-            if k or k is None and kind_of(w):
-                return True
-        return bool(_FIGURES.search(text) or _TITLED.search(text) or _PLACE_CUE.search(text) and _PLACE.search(text))
-
     def segments(self, text: str) -> list[tuple[int, int, str]]:
         """``(start, end, type)`` of a whole text, line by line and sentence by sentence."""
         out: list[tuple[int, int, str]] = []
@@ -135,19 +163,16 @@ class Finder:
             start = 0
             if line.startswith("[") and (m := _HEADER.match(line)):
                 start = m.end()
-                key = "[" + m[1] + " @ 00:00]"
-                out += [(base + a, base + b, k) for a, b, k in self._decode(key)]
-            cuts = [start, *(c for m in _SENTENCE.finditer(line, start) for c in m.span()), len(line)]
-            for a, b in zip(cuts[::2], cuts[1::2]):
-                part = line[a:b] if a or b < len(line) else line
-                if len(part) < 2:
-                    continue
-                found = self.memo.get(part)
-                if found is None:
-                    if not self._possible(part):
-                        continue
-                    found = self._decode(part)
-                out += [(base + a + x, base + a + y, k) for x, y, k in found]
+                out += [(base + a, base + b, k) for a, b, k in self._decode("[" + m[1] + ", USER @ 00:00]", NAMES)]
+            body = line[start:] if start else line
+            if len(body) > 1 and (reasons := self._reasons(body)):
+                a = 0
+                cuts = [m for m in _END.finditer(body) if not _NO_END.search(body, max(0, m.start() - 5), m.start())]
+                for m in [*cuts, None]:
+                    part = body[a : m.start() + 1] if m else body[a:]
+                    for x, y, k in self._decode(part, None if cuts else reasons):
+                        out.append((base + start + a + x, base + start + a + y, k))
+                    a = m.end() if m else a
             base += len(line) + 1
         return out
 

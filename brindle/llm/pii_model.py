@@ -129,83 +129,124 @@ def address_candidates(text: str) -> Iterable[Candidate]:
                 ]
 
 
-def name_candidates(text: str, kind_of: Callable[[str], int]) -> Iterable[Candidate]:
-    """Segments of one to three words around a word known from names, or behind a title."""
+def name_spans(text: str, kind_of: Callable[[str], int]) -> Iterable[tuple[int, int, tuple]]:
+    """Segments of one to three words around a word known from names, or behind a title; each with what its features are made of."""
     spoken = _ASIDE.sub(lambda m: " " * len(m[0]), text)  # hesitations and sound notes are no context
-    tokens = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(spoken)]
-    words = [t[0] for t in tokens]
-    flags = [kind_of(w.lower()) if w[0].isalpha() and len(w) > 1 else 0 for w in words]
+    words: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for m in _TOKEN.finditer(spoken):
+        words.append(m[0])
+        starts.append(m.start())
+        ends.append(m.end())
     n = len(words)
-
-    def word(i: int) -> bool:
-        return 0 <= i < n and len(words[i]) > 1 and words[i][0].isalpha()
-
-    def initial(i: int) -> bool:
-        return 0 <= i < n and len(words[i]) == 1 and words[i].isupper()
-
-    def near(i: int, j: int) -> bool:
-        return tokens[j][1] - tokens[i][2] == 1
-
+    full = [len(w) > 1 and w[0].isalpha() for w in words]
+    flags = [kind_of(w.lower()) & 3 if f else 0 for w, f in zip(words, full)]
+    initial = [not f and w.isalpha() and w.isupper() for w, f in zip(words, full)]
+    full += [False, False]
+    initial += [False, False]
     spans: list[tuple[int, int, str]] = []
     for i in range(n):
-        if word(i) and flags[i]:
-            spans.append((i, i + 1, "W"))
-        elif word(i) and words[i][0].isupper() and i and words[i - 1].lower() in TITLES | {"."} and (words[i - 1] != "." or i > 1 and words[i - 2].lower() in TITLES):
+        if initial[i]:
+            if i + 2 < n and words[i + 1] == "." and full[i + 2] and (flags[i + 2] or words[i + 2][0].isupper()):
+                spans.append((i, i + 3, "I.W"))
+            continue
+        if not full[i]:
+            continue
+        if flags[i] or words[i][0].isupper() and i and (words[i - 1].lower() in TITLES or words[i - 1] == "." and i > 1 and words[i - 2].lower() in TITLES):
             spans.append((i, i + 1, "W"))
-        if word(i) and word(i + 1) and near(i, i + 1) and (flags[i] or flags[i + 1]):
+        if full[i + 1] and starts[i + 1] - ends[i] == 1 and (flags[i] or flags[i + 1]):
             spans.append((i, i + 2, "WW"))
-            if word(i + 2) and near(i + 1, i + 2) and flags[i + 2]:
+            if full[i + 2] and flags[i + 2] and starts[i + 2] - ends[i + 1] == 1:
                 spans.append((i, i + 3, "WWW"))
-        if word(i) and i + 2 < n and words[i + 1] in "_," and word(i + 2) and (flags[i] or flags[i + 2]):
-            if words[i + 1] == "_" and tokens[i][2] == tokens[i + 1][1] and tokens[i + 1][2] == tokens[i + 2][1] or words[i + 1] == "," and near(i + 1, i + 2):
-                spans.append((i, i + 3, "W" + words[i + 1] + "W"))
-        if word(i) and flags[i] and initial(i + 1) and near(i, i + 1):
+        elif initial[i + 1] and flags[i] and starts[i + 1] - ends[i] == 1:
             spans.append((i, i + 2, "WI"))
-            if i + 2 < n and words[i + 2] == "." and tokens[i + 1][2] == tokens[i + 2][1]:
+            if i + 2 < n and words[i + 2] == "." and ends[i + 1] == starts[i + 2]:
                 spans.append((i, i + 3, "WI."))
-        if initial(i) and i + 1 < n and words[i + 1] == "." and word(i + 2) and (flags[i + 2] or words[i + 2][0].isupper()):
-            spans.append((i, i + 3, "I.W"))
+        elif i + 2 < n and full[i + 2] and (flags[i] or flags[i + 2]):
+            sign = words[i + 1]
+            if sign == "_" and ends[i] == starts[i + 1] and ends[i + 1] == starts[i + 2] or sign == "," and starts[i + 2] - ends[i + 1] == 1:
+                spans.append((i, i + 3, "W" + sign + "W"))
     for i, j, form in spans:
-        inner = [k for k in range(i, j) if word(k)]
-        left, right = (words[i - 1].lower() if i else "^"), (words[j].lower() if j < n else "$")
-        left_two = words[i - 2].lower() if i > 1 else "^"
-        right_kind = "$" if j >= n else "p" if not words[j][0].isalnum() else "d" if words[j][0].isdigit() else _case(words[j])
-        sign = form + " " + "".join(str(flags[k]) for k in inner)
-        cases = "".join(_case(words[k]) for k in inner)
-        whole = i == 0 and (j == n or words[j:] == ["."])
-        glued = tokens[i][1] > 0 and text[tokens[i][1] - 1] in "_@.-" and tokens[i][1] == (tokens[i - 1][2] if i else -1)
-        glued = glued or tokens[j - 1][2] < len(text) and text[tokens[j - 1][2]] in "_@" or bool(re.match(r"\.\w", text[tokens[j - 1][2] :]))
-        yield tokens[i][1], tokens[j - 1][2], NAME, [
-            NAME, f"name {sign}", f"name {form} {cases}", f"name {sign} {cases}", f"name {form} whole {whole}", f"name glued {glued}", f"name left {left}", f"name right {right}", f"name {form} right {right_kind}",
-            f"name {form} {cases} left {left if not left[0].isalpha() else 'w'} right {right_kind}", f"name left2 {left_two} {left}", f"name {sign} {cases} right {right}",
-        ]
+        inner = [k for k in range(i, j) if full[k]]
+        after = words[j] if j < n else "$"
+        right_kind = "$" if j >= n else "p" if not after[0].isalnum() else "d" if after[0].isdigit() else _case(after)
+        glued = i > 0 and starts[i] == ends[i - 1] and words[i - 1][-1] in "_@.-"
+        glued = glued or text[ends[j - 1] : ends[j - 1] + 1] in ("_", "@") or text[ends[j - 1] : ends[j - 1] + 1] == "." and text[ends[j - 1] + 1 : ends[j - 1] + 2].isalnum()
+        yield starts[i], ends[j - 1], (
+            form, "".join([str(flags[k]) for k in inner]), "".join([_case(words[k]) for k in inner]), words[i - 1].lower() if i else "^", words[i - 2].lower() if i > 1 else "^",
+            after.lower(), right_kind, i == 0 and (j == n or words[j:] == ["."]), glued,
+        )
+
+
+def name_features(key: tuple) -> list[str]:
+    form, kinds, cases, left, left_two, right, right_kind, whole, glued = key
+    sign = f"{form} {kinds}"
+    return [
+        NAME, f"name {sign}", f"name {form} {cases}", f"name {sign} {cases}", f"name {form} whole {whole}", f"name glued {glued}", f"name left {left}", f"name right {right}", f"name {form} right {right_kind}",
+        f"name {form} {cases} left {left if not left[0].isalpha() else 'w'} right {right_kind}", f"name left2 {left_two} {left}", f"name {sign} {cases} right {right}",
+    ]
+
+
+NAMES, EMAILS, FIGURES, PLACES = 1, 2, 4, 8
+EVERYTHING = 15
+
+
+def other_candidates(text: str, reasons: int = EVERYTHING) -> list[Candidate]:
+    """Candidates of the types that ``reasons`` allows, names apart."""
+    found: list[Candidate] = []
+    if reasons & EMAILS:
+        found += email_candidates(text)
+    if reasons & FIGURES:
+        found += number_candidates(text)
+    if reasons & PLACES:
+        found += address_candidates(text)
+    return found
 
 
 def candidates(text: str, kind_of: Callable[[str], int]) -> list[Candidate]:
     """All candidate segments of a text with their whole-span features, by their end."""
-    found = [*name_candidates(text, kind_of)]
-    if "@" in text or "[at]" in text or "(at)" in text or " dot " in text:
-        found += email_candidates(text)
-    found += number_candidates(text)
-    found += address_candidates(text)
-    return sorted(found, key=lambda c: (c[1], c[0], c[2]))
-
-
-def decode(text: str, kind_of: Callable[[str], int], weights: dict[str, float]) -> list[tuple[int, int, str]]:
+    found = [(a, b, NAME, name_features(key)) for a, b, key in name_spans(text, kind_of)]
+    return sorted([*found, *other_candidates(text)], key=lambda c: (c[1], c[0], c[2]))
+
+
+class Scorer:
+    """Scores of candidate segments under fixed weights; those of names are kept by what they depend on."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+        self.names: dict[tuple, float] = {}
+
+    def scored(self, text: str, kind_of: Callable[[str], int], reasons: int) -> list[tuple[int, int, str, float]]:
+        get = self.weights.get
+        out = []
+        if reasons & NAMES:
+            for a, b, key in name_spans(text, kind_of):
+                score = self.names.get(key)
+                if score is None:
+                    if len(self.names) > 200_000:
+                        self.names.clear()
+                    score = self.names[key] = sum([get(f, 0.0) for f in name_features(key)])
+                if score > 0:
+                    out.append((a, b, NAME, score))
+        for a, b, kind, features in other_candidates(text, reasons):
+            score = sum([get(f, 0.0) for f in features])
+            if score > 0:
+                out.append((a, b, kind, score))
+        return sorted(out, key=lambda c: (c[1], c[0], c[2]))
+
+
+def decode(text: str, kind_of: Callable[[str], int], scorer: Scorer, reasons: int = EVERYTHING) -> list[tuple[int, int, str]]:
     """The best set of segments that do not overlap: boundaries and types chosen together.
 
     Text outside any segment scores 0, so the dynamic program steps from candidate end to candidate
-    end; a segment has at most ``MOST_CHARS`` characters.
+    end, and a segment that scores less than nothing is in no best set; a segment has at most ``MOST_CHARS`` characters.
     """
-    found = candidates(text, kind_of)
-    if not found:
-        return []
-    get = weights.get
+    found = scorer.scored(text, kind_of, reasons)
+    if len(found) < 2:
+        return [f[:3] for f in found]
     best: list[tuple[int, float, tuple | None]] = [(0, 0.0, None)]  # end, score, link
-    for start, end, kind, features in found:
-        score = sum([get(f, 0.0) for f in features])
-        if score <= 0:
-            continue
+    for start, end, kind, score in found:
         k = len(best) - 1
         while best[k][0] > start:
             k -= 1

@@ -42,7 +42,9 @@ def in_date_range(c: Column, start: str | None, end: str | None) -> Column:
 
 def json_tags(c: Column) -> Column:
     """Values of a JSON array in a string, empty ones dropped; anything else gives an empty array."""
-    return F.coalesce(F.filter(F.from_json(c, "array<string>"), lambda t: t.isNotNull() & (t != "")), F.array().cast("array<string>"))
+    strict = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"}
+    whole = F.when(c.rlike(r"(?s)^\s*\[.*\]\s*$") & (F.json_array_length(c) >= 0), c)  # null for what is no JSON array
+    return F.coalesce(F.filter(F.from_json(whole, "array<string>", strict), lambda t: t.isNotNull() & (t != "")), F.array().cast("array<string>"))
 
 
 def lower_tags(tags: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import QUERY_WORD, dot, index_tokens
+from brindle.functions.stemming import plain, stem, vocabulary
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -35,38 +36,67 @@ def pool_size(k: int) -> int:
     return max(POOL_FACTOR * k, POOL_LEAST)
 
 
-def phrase_count(tokens: Column, phrase: list[str]) -> Column:
+Phrase = list[list[str]]  # the words allowed at each place
+
+
+def stem_forms(docs: DataFrame, fields: tuple[str, ...], phrases: list[Phrase]) -> list[Phrase]:
+    """The phrases with every word of the index that has the stem of theirs, diacritics aside.
+
+    The vocabulary is made distinct and stemmed in the tasks; only the forms of the question's few stems come back.
+    """
+    wanted = {w: stem(plain(w)) for p in phrases for forms in p for w in forms}
+    tokens = docs.select(F.explode(F.concat(*[index_tokens(F.col(c)) for c in fields])).alias("term"))
+    forms: dict[str, list[str]] = {}
+    for row in vocabulary(tokens).where(F.col("stem").isin(sorted(set(wanted.values())))).collect():
+        forms.setdefault(row["stem"], []).append(row["term"])
+    return [[sorted({w, *forms.get(wanted[w], [])}) for places in p for w in places] for p in phrases]
+
+
+def phrase_count(tokens: Column, phrase: Phrase) -> Column:
     """Occurrences of a phrase in one field."""
     if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    last = F.size(tokens) - (len(phrase) - 1)
-    starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, len(phrase)) == F.array(*map(F.lit, phrase))))
+        return F.size(F.filter(tokens, lambda t: t.isin(phrase[0])))
+    tail = lambda k: F.slice(tokens, F.lit(k + 1), F.greatest(F.size(tokens), F.lit(1)))
+    among = lambda array, words: F.transform(array, lambda t: t.isin(words))
+    test = among(tokens, phrase[0])
+    for k, words in enumerate(phrase[1:], 1):  # the k-th word after each place; null behind the end
+        test = F.zip_with(test, among(tail(k), words), lambda a, b: a & F.coalesce(b, F.lit(False)))
+    return F.size(F.filter(test, lambda x: x))
 
 
-def bm25_scores(docs: DataFrame, id_column: str, question: str, title: str | None = "title", text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
+def bm25_scores(docs: DataFrame, id_column: str, question: str, fields: tuple[str, ...] = ("title", "text"), allowed: DataFrame | None = None, stemming: bool = False) -> DataFrame:
     """``(id, bm25)`` of the documents with a term of the question; lower is better.
 
     Statistics cover all documents; ``allowed`` (ids, in a column named like ``id_column``) then restricts the
     hits before the top k. A phrase lies within one field. A term in half of the
-    documents or more weighs 1e-6. Null fields hold no words; repeats in the question count again.
+    documents or more weighs 1e-6. Null fields hold no words; repeats in the question count again; a
+    question without words finds nothing.
     """
-    phrases = parse_query(question)
-    fields = [index_tokens(F.col(c)) for c in ([title] if title else []) + [text]]
-    tf = [sum((phrase_count(f, p) for f in fields[1:]), phrase_count(fields[0], p)) for p in phrases]
-    length = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
-    counted = docs.select(F.col(id_column).alias("id"), length.alias("dl"), F.array(*tf).alias("tf") if tf else F.array().cast("array<int>").alias("tf"))
-    sums = [F.count("*").alias("n"), F.avg("dl").alias("avgdl")] + [F.sum((F.col("tf")[i] > 0).cast("bigint")).alias(f"n{i}") for i in range(len(phrases))]
-    stats = counted.agg(*sums)
-    hits = counted.where(F.exists("tf", lambda x: x > 0))
+    phrases: list[Phrase] = [[[w] for w in p] for p in parse_query(question)]
+    if stemming and phrases:
+        phrases = stem_forms(docs, fields, phrases)
+    n = len(phrases)
+
+    def figures(doc: Column) -> Column:
+        tokens = [doc[f"f{k}"] for k in range(len(fields))]
+        total = lambda columns: sum(columns[1:], columns[0])
+        return F.struct(total([F.size(f) for f in tokens]).alias("dl"), *[total([phrase_count(f, p) for f in tokens]).alias(f"t{i}") for i, p in enumerate(phrases)])
+
+    # as the variable of a lambda, a document's tokens are made once, however many terms read them
+    doc = F.struct(*[index_tokens(F.col(c)).alias(f"f{k}") for k, c in enumerate(fields)])
+    counted = docs.select(F.col(id_column).alias("id"), F.transform(F.array(doc), figures)[0].alias("d")).select("id", "d.*")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("bigint")).alias(f"n{i}") for i in range(n)])
+    found = F.lit(False)
+    for i in range(n):
+        found = found | (F.col(f"t{i}") > 0)
+    hits = counted.where(found)
     if allowed is not None:
         hits = hits.join(allowed.select(F.col(id_column).alias("id")), "id", "left_semi")
     score = F.lit(0.0)
-    for i in range(len(phrases)):
+    for i in range(n):
         idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        t = F.col("tf")[i]
-        score = score - idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        t = F.col(f"t{i}")
+        score = score - F.when(idf <= 0, 1e-6).otherwise(idf) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.crossJoin(F.broadcast(stats)).select("id", score.alias("bm25"))  # stats is one row
 
 

@@ -50,7 +50,7 @@ def parent_topics(assigned: DataFrame, records: DataFrame) -> DataFrame:
 
 def class_terms(texts: DataFrame, stopwords: list[str], bigrams: bool = True) -> DataFrame:
     """``(topic_id, term, tf)`` of one- and two-word terms; pairs form after the stop words are gone."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z]+)\b"), 1), lambda w: ~w.isin(stopwords))
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike("^[a-z]{2,}$") & ~w.isin(stopwords))
     tokens = texts.select("topic_id", F.coalesce(words, F.array().cast("array<string>")).alias("w"))
     if bigrams:
         # zip_with pads the shorter side with null, and concat with null is null
@@ -63,10 +63,10 @@ def class_keywords(texts: DataFrame, stopwords: list[str], keep: int = KEYWORDS,
     """``(topic_id, rank, term, weight)``: class-based TF-IDF with the square root of the term's share in the class.
 
     weight = sqrt(tf / tokens of the class) * ln(1 + A / f), A the mean number of tokens per class and f the
-    term's number over all classes; terms in fewer than ``least`` occurrences are dropped.
+    term's number over all classes; terms in fewer than ``least`` classes are dropped.
     """
     terms = class_terms(texts, stopwords)
-    overall = terms.groupBy("term").agg(F.sum("tf").alias("f")).where(F.col("f") >= least)
+    overall = terms.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("classes")).where(F.col("classes") >= least).drop("classes")
     kept = terms.join(overall, "term")
     totals = kept.groupBy("topic_id").agg(F.sum("tf").alias("total"))
     mean = totals.agg(F.avg("total").alias("a"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.clusters import cluster_members, describe_clusters, hashed_vectors, tight_clusters, unit_vectors
+from brindle.llm.clusters import TEXT_COSINE, TEXT_DIM, cluster_members, describe_clusters, hashed_vectors, tight_clusters, unit_vectors
 from brindle.llm.leaks import leaked_items
 from brindle.llm.packing import container_fill, fill_containers
 from brindle.llm.pieces import split_oversized
@@ -31,7 +31,7 @@ def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_text_clusters(spark: SparkSession, root: str) -> DataFrame:
-    return describe_clusters(cluster_members(hashed_vectors(table(spark, root, "records"), "id", "text")))
+    return describe_clusters(cluster_members(hashed_vectors(table(spark, root, "records"), "id", "text"), TEXT_COSINE, TEXT_DIM))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

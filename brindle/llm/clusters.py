@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from brindle.sources.tables import cut
 
 DIM = 64
+TEXT_DIM = 256
+TEXT_COSINE = 0.5
 COSINE = 0.78
 CELL_ROWS = 4000
 BLOCK_ROWS = 3000
@@ -62,11 +64,11 @@ def unit_vectors(df: DataFrame, id_column: str, vector_column_name: str, dim: in
     return rows.groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(normalise, _UNIT)
 
 
-def hashed_vectors(df: DataFrame, id_column: str, text_column: str, dim: int = DIM) -> DataFrame:
+def hashed_vectors(df: DataFrame, id_column: str, text_column: str, dim: int = TEXT_DIM) -> DataFrame:
     """``(id, vec)``: hashed weighted features of a text.
 
     Every word falls into one of ``dim`` buckets with a sign, both from its hash, and adds
-    (1 + ln tf) * ln(1 + N / df), where df counts the rows of the word over the whole table.
+    (1 + ln tf) * ln(N / df), where df counts the rows of the word over the whole table.
     Null and wordless texts have no vector and are left out.
     """
     words = (
@@ -77,15 +79,20 @@ def hashed_vectors(df: DataFrame, id_column: str, text_column: str, dim: int = D
     )
     tf = words.groupBy("id", "word").agg(F.count("*").alias("tf"))
     total = words.select(F.approx_count_distinct("id", 0.01).alias("n"))
-    weights = tf.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", F.log1p(F.col("n") / F.col("df")).alias("idf"))
+    weights = tf.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", F.greatest(F.log(F.col("n") / F.col("df")), F.lit(0.0)).alias("idf"))
     h = F.xxhash64("word")
-    parts = tf.join(weights, "word").select(
-        "id",
-        F.pmod(h, F.lit(dim)).cast("int").alias("bucket"),
-        ((F.lit(1.0) + F.log("tf")) * F.col("idf") * F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).alias("w"),
-    )
-    sums = [F.sum(F.when(F.col("bucket") == b, F.col("w")).otherwise(0.0)).cast("float") for b in range(dim)]
-    return unit_vectors(parts.groupBy("id").agg(F.array(*sums).alias("vec")), "id", "vec", dim)
+    sign = F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)
+    parts = tf.join(weights, "word").select("id", F.pmod(h, F.lit(dim)).cast("int").alias("bucket"), ((F.lit(1.0) + F.log("tf")) * F.col("idf") * sign).alias("w"))
+    per_text = parts.groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("w").alias("weights"))  # bounded by one text's words
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim))
+            rows = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+            np.add.at(out, (rows, batch.column(1).flatten().to_numpy()), batch.column(2).flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), vector_column(out)], names=["id", "vec"])
+
+    return unit_vectors(per_text.mapInArrow(scatter, _UNIT), "id", "vec", dim)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,79 +36,99 @@ def sync_point(text: str, at: int, halo: int = HALO_CHARS) -> int:
     return m.start() if m else min(at, len(text))
 
 
-def boundaries(text: str, start: int, end: int, sizes: dict[str, int], vocabulary: str = VOCABULARY, hard: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_SPACE, _SPACED, _END, _WIDE, _CLOSER = 1, 2, 4, 8, 16
+
+
+def _code(word: str, vocabulary: str) -> int:
+    """Tokens, length, line breaks and signs of one word of the tokenizer, packed in one number."""
+    signs = _SPACE if word.isspace() else 0
+    signs |= _SPACED if word[0].isspace() else 0
+    signs |= _END if word.endswith(_SENTENCE_END) else 0
+    signs |= _WIDE if word.endswith(_WIDE_END) else 0
+    signs |= _CLOSER if word.strip(_CLOSERS) == "" else 0
+    return count(word, vocabulary) | len(word) << 20 | min(2, word.count("\n")) << 40 | signs << 42
+
+
+def _finer(words: list[str], offset: int, level: int, vocabulary: str) -> list[tuple[int, int, int]]:
+    """A unit of many tokens parted at words of the tokenizer, and a long word at its tokens."""
+    out: list[list[int]] = []
+    for word in words:
+        parts = [(len(word), count(word, vocabulary))]
+        if parts[0][1] > LONG_WORD_TOKENS:
+            parts, held, size = [], b"", 0
+            for token in encoding(vocabulary).decode_tokens_bytes(encoding(vocabulary).encode_ordinary(word)):
+                held, size = held + token, size + 1
+                try:
+                    chars = len(held.decode())
+                except UnicodeDecodeError:
+                    continue
+                parts.append((chars, size))
+                held, size = b"", 0
+        for chars, n in parts:
+            if out and (out[-1][2] + n <= LONG_WORD_TOKENS // 2 or word.isspace()):
+                out[-1][2] += n
+            else:
+                out.append([offset, INSIDE if out else level, n])
+            offset += chars
+    return [tuple(x) for x in out]
+
+
+def boundaries(text: str, start: int, end: int, codes: dict[str, int], vocabulary: str = VOCABULARY, hard: bool = False, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places where ``text[start:end]`` may be cut: ``(offset, level, tokens up to the next place)``.
 
     Levels: paragraph, line, sentence, word, inside a long word. Tokens add up over the places,
     because a place never splits what the tokenizer reads as one word, but for words of more
-    than ``LONG_WORD_TOKENS`` tokens. Words that hang together without a blank are parted every so many tokens. ``hard`` says that ``start`` itself is inside a word.
+    than ``LONG_WORD_TOKENS`` tokens. Words that hang together without a blank are parted every so many tokens.
+    ``hard`` says that ``start`` itself is inside a word; a stretch of at most ``least`` tokens has no places.
     """
-    offsets: list[int] = []
-    levels: list[int] = []
-    tokens: list[int] = []
-    breaks, blank, before = 0, True, ""
-    for m in _SPLIT.finditer(text, start, end):
-        word = m[0]
-        n = sizes.get(word)
-        if n is None:
-            n = count(word, vocabulary)
-            if len(word) < 40:
-                sizes[word] = n
-        if word.isspace():
-            breaks += word.count("\n")
-            blank = True
-            if offsets:
-                tokens[-1] += n
-            else:
-                offsets.append(m.start())
-                levels.append(INSIDE if hard else WORD)
-                tokens.append(n)
-            continue
-        first = word[0]
-        spaced = blank or first.isspace()
-        if first == "\n":
-            breaks += 1
-        tail = before.rstrip(_CLOSERS) if before else ""
-        if breaks >= 2:
-            level = PARAGRAPH
-        elif breaks:
-            level = LINE
-        elif tail.endswith(_SENTENCE_END) and spaced or before.endswith(_WIDE_END):
-            level = SENTENCE
-        elif spaced:
-            level = WORD
-        else:
-            level = -1
-        if not offsets:
-            level = INSIDE if hard else max(level, WORD)
-        if n > LONG_WORD_TOKENS:
-            at, size, place = m.start(), 0, m.start()
-            step = b""
-            for part in encoding(vocabulary).decode_tokens_bytes(encoding(vocabulary).encode_ordinary(word)):
-                step += part
-                size += 1
-                try:
-                    chars = len(step.decode())
-                except UnicodeDecodeError:
-                    continue
-                step, at = b"", at + chars
-                if size >= 8 or at == m.end():
-                    offsets.append(place)
-                    levels.append(level if place == m.start() and level >= 0 else INSIDE)
-                    tokens.append(size)
-                    place, size = at, 0
-        elif level < 0 and offsets and tokens[-1] + n <= LONG_WORD_TOKENS:
-            tokens[-1] += n
-        else:
-            offsets.append(m.start())
-            levels.append(max(level, INSIDE))
-            tokens.append(n)
-        before = word if not (word.strip(_CLOSERS) == "" and before) else before + word
-        breaks, blank = 0, False
-    return np.array(offsets, np.int64), np.array(levels, np.int8), np.array(tokens, np.int32)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int32)
+    words = _SPLIT.findall(text, start, end)
+    found = list(map(codes.get, words))
+    if None in found:
+        fresh = {w: _code(w, vocabulary) for w, c in zip(words, found) if c is None}
+        found = [fresh[w] if c is None else c for w, c in zip(words, found)]
+        codes.update((w, c) for w, c in fresh.items() if len(w) < 40)
+    code = np.array(found, np.int64)
+    tokens, length, breaks, signs = code & 0xFFFFF, code >> 20 & 0xFFFFF, code >> 40 & 3, code >> 42
+    if not words or tokens.sum() <= least:
+        return none
+    offsets = start + np.concatenate([[0], np.cumsum(length)[:-1]])
+    seen = np.flatnonzero(signs & _SPACE == 0)
+    if not len(seen):
+        return np.array([start]), np.array([INSIDE if hard else WORD], np.int8), np.array([tokens.sum()], np.int32)
+    lines = np.cumsum(breaks)
+    between = lines[seen] - np.concatenate([[0], lines[seen[:-1]]])
+    spaced = (np.diff(seen, prepend=-1) > 1) | (signs[seen] & _SPACED > 0)
+    ends, wide, closer = (signs[seen] & k > 0 for k in (_END, _WIDE, _CLOSER))
+    for _ in range(3):  # closing quotes, brackets and marks hand on the end of a sentence
+        hand = closer[1:] & ~spaced[1:]
+        ends[1:] |= hand & ends[:-1]
+        wide[1:] |= hand & wide[:-1]
+    level = np.where(spaced, WORD, -1)
+    after_end = np.concatenate([[False], ends[:-1] & spaced[1:] | wide[:-1] & ~closer[1:]])
+    level[after_end] = SENTENCE
+    level[between == 1] = LINE
+    level[between >= 2] = PARAGRAPH
+    level[0] = INSIDE if hard else max(level[0], WORD)
+    kept = level >= 0
+    first = seen[kept]
+    first[0] = 0
+    sums, levels, places = np.add.reduceat(tokens, first), level[kept], offsets[first]
+    long = np.flatnonzero(sums > LONG_WORD_TOKENS)
+    if len(long):
+        borders = np.append(first, len(words))
+        rows: list[tuple[int, int, int]] = []
+        at = 0
+        for k in long:
+            rows += zip(places[at:k].tolist(), levels[at:k].tolist(), sums[at:k].tolist())
+            rows += _finer(words[borders[k] : borders[k + 1]], int(places[k]), int(levels[k]), vocabulary)
+            at = k + 1
+        rows += zip(places[at:].tolist(), levels[at:].tolist(), sums[at:].tolist())
+        places, levels, sums = (np.array(x) for x in zip(*rows))
+    return places.astype(np.int64), levels.astype(np.int8), sums.astype(np.int32)
 
 
-def plan_pieces(offsets: np.ndarray, levels: np.ndarray, prefix: np.ndarray, first: int, end_offset: int, last_segment: bool, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+def plan_pieces(offsets: np.ndarray, levels: np.ndarray, prefix: np.ndarray, first: int, end_offset: int, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """Pieces ``(start, end, tokens, level of the cut at the end)`` of the stretch from place ``first`` on.
 
     ``prefix`` has one more entry than ``offsets``: the tokens before each place and in all.
@@ -143,8 +163,9 @@ def plan_pieces(offsets: np.ndarray, levels: np.ndarray, prefix: np.ndarray, fir
 
 
 _RANGE = "doc_id bigint, range_no int, range_start bigint, chunk_start bigint, last boolean, chunk string"
-_TABLE = "doc_id bigint, range_no int, starts binary, levels binary, tokens binary, range_tokens bigint, range_end bigint, last boolean"
+_TABLE = _RANGE + ", starts binary, levels binary, tokens binary, range_tokens bigint, range_end bigint"
 _PLAN = "doc_id bigint, start_char bigint, end_char bigint, planned_tokens int, cut_level int"
+GIANT_RANGES = 64
 
 
 def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,62 +196,85 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
         raise ValueError("the overlap must be less than half the limit")
     # a text has at most as many tokens as bytes
     texts = documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit)).select("doc_id", "text")
-    ranges = texts.mapInPandas(_ranges, _RANGE)
+    giant = F.length("text") > GIANT_RANGES * RANGE_CHARS
+    ranges = texts.where(~giant).mapInPandas(_ranges, _RANGE).unionByName(texts.where(giant).mapInPandas(_ranges, _RANGE).repartition("doc_id", "range_no"))
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes: dict[str, int] = {}
+        codes: dict[str, int] = {}
         for batch in batches:
             rows = []
             for doc, k, start, base, last, chunk in zip(*[batch[c] for c in ("doc_id", "range_no", "range_start", "chunk_start", "last", "chunk")]):
+                alone = last and k == 0
+                if alone and len(chunk) < 6 * limit and count(chunk, vocabulary) <= limit:
+                    continue
                 a = sync_point(chunk, start - base)
                 b = len(chunk) if last else sync_point(chunk, start - base + RANGE_CHARS)
                 hard = start > 0 and a == start - base and not chunk[a : a + 1].isspace()
-                at, level, size = boundaries(chunk, a, b, sizes, vocabulary, hard)
-                if len(sizes) > 200_000:
-                    sizes.clear()
-                rows.append((doc, k, (at + base).tobytes(), level.tobytes(), size.tobytes(), int(size.sum()), b + base, last))
+                at, level, size = boundaries(chunk, a, b, codes, vocabulary, hard, limit if alone else 0)
+                if len(codes) > 200_000:
+                    codes.clear()
+                if not alone or len(at):
+                    rows.append((doc, k, start, base, last, chunk, (at + base).tobytes(), level.tobytes(), size.tobytes(), int(size.sum()), b + base))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TABLE.split(", ")])
 
-    spread = cut(ranges.repartition("doc_id", "range_no").dropDuplicates(["doc_id", "range_no"]))
-    table = cut(spread.mapInPandas(tables, _TABLE))
-    long = table.groupBy("doc_id").agg(F.sum("range_tokens").alias("doc_tokens")).where(F.col("doc_tokens") > limit)
-    before = Window.partitionBy("doc_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = table.join(long, "doc_id").select("doc_id", "range_no", F.coalesce(F.sum("range_tokens").over(before), F.lit(0)).alias("tokens_before"))
+    whole_table = cut(ranges.mapInPandas(tables, _TABLE))
+    chunks = whole_table.select("doc_id", "range_no", "range_start", "chunk_start", "chunk")
+    table = whole_table.drop("chunk", "range_start", "chunk_start")
+    per_range = table.groupBy("doc_id", "range_no").agg(F.max("range_tokens").alias("range_tokens"))
+    upto = Window.partitionBy("doc_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sums = per_range.select(
+        "doc_id", "range_no", F.coalesce(F.sum("range_tokens").over(upto), F.lit(0)).alias("tokens_before"), F.sum("range_tokens").over(Window.partitionBy("doc_id")).alias("doc_tokens")
+    ).where(F.col("doc_tokens") > limit)
     own = F.floor(F.col("range_no") / SEGMENT_RANGES).cast("int")
     is_end = F.col("range_no") % SEGMENT_RANGES == SEGMENT_RANGES - 1
     segments = F.when(is_end & ~F.col("last"), F.array(own, own + 1)).otherwise(F.array(own))
     stitched = table.join(sums, ["doc_id", "range_no"]).withColumn("segment", F.explode(segments))
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("range_no", ignore_index=True)
-        offsets = np.concatenate([np.frombuffer(x, np.int64) for x in group["starts"]])
-        levels = np.concatenate([np.frombuffer(x, np.int8) for x in group["levels"]])
-        size = np.concatenate([np.frombuffer(x, np.int32) for x in group["tokens"]])
-        prefix = int(group["tokens_before"].iloc[0]) + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        halo = group["range_no"] < group["segment"] * SEGMENT_RANGES
-        first = sum(len(x) // 8 for x in group["starts"][halo])
-        pieces = plan_pieces(offsets, levels, prefix, first, int(group["range_end"].iloc[-1]), bool(group["last"].iloc[-1]), limit, overlap)
-        doc = int(group["doc_id"].iloc[0])
-        return pd.DataFrame([(doc, *p) for p in pieces], columns=[c.split()[0] for c in _PLAN.split(", ")])
-
-    plans = stitched.groupBy("doc_id", "segment").applyInPandas(plan, _PLAN)
-    numbered = plans.withColumn("piece_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char", "end_char")))
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The partition is sorted by document, segment and range; repeated rows of a range follow each other."""
+        key, held = None, []
+        out: list[tuple] = []
+
+        def close() -> None:
+            offsets = np.concatenate([np.frombuffer(r[1], np.int64) for r in held])
+            levels = np.concatenate([np.frombuffer(r[2], np.int8) for r in held])
+            size = np.concatenate([np.frombuffer(r[3], np.int32) for r in held])
+            prefix = held[0][4] + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            first = sum(len(r[1]) // 8 for r in held if r[0] < key[1] * SEGMENT_RANGES)
+            out.extend((key[0], *p) for p in plan_pieces(offsets, levels, prefix, first, held[-1][5], limit, overlap))
+
+        for batch in batches:
+            for doc, segment, *row in zip(*[batch[c] for c in ("doc_id", "segment", "range_no", "starts", "levels", "tokens", "tokens_before", "range_end")]):
+                if key != (doc, segment):
+                    if held:
+                        close()
+                    key, held = (doc, segment), []
+                if not held or held[-1][0] != row[0]:
+                    held.append(row)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PLAN.split(", ")])
+            out = []
+        if held:
+            close()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _PLAN.split(", ")])
+
+    plans = stitched.repartition("doc_id", "segment").sortWithinPartitions("doc_id", "segment", "range_no").mapInPandas(plan, _PLAN)
+    numbered = cut(plans).withColumn("piece_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char", "end_char")))
     touched = F.sequence(F.floor(F.col("start_char") / RANGE_CHARS).cast("int"), F.floor((F.col("end_char") - 1) / RANGE_CHARS).cast("int"))
-    wanted = numbered.withColumn("range_no", F.explode(touched))
+    wanted = numbered.withColumn("touched", F.size(touched)).withColumn("range_no", F.explode(touched))
     part_from = F.greatest(F.col("start_char"), F.col("range_start"))
     part_to = F.least(F.col("end_char"), F.col("range_start") + RANGE_CHARS)
-    parts = wanted.join(spread.select("doc_id", "range_no", "range_start", "chunk_start", "chunk"), ["doc_id", "range_no"]).select(
-        "doc_id", "piece_no", "start_char", "end_char", "cut_level", "range_no",
+    parts = wanted.join(chunks.dropDuplicates(["doc_id", "range_no"]), ["doc_id", "range_no"]).select(
+        "doc_id", "piece_no", "start_char", "end_char", "cut_level", "range_no", "touched",
         F.substring("chunk", (part_from - F.col("chunk_start") + 1).cast("int"), (part_to - part_from).cast("int")).alias("part"),
     )
-    whole = parts.groupBy("doc_id", "piece_no", "start_char", "end_char", "cut_level").agg(F.array_sort(F.collect_list(F.struct("range_no", "part"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["part"]), "")
+    keys = ("doc_id", "piece_no", "start_char", "end_char", "cut_level")
+    joined = parts.where("touched > 1").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("range_no", "part"))).alias("p"))
+    over_borders = joined.select(*keys, F.array_join(F.transform("p", lambda x: x["part"]), "").alias("text"))
+    pieces = parts.where("touched = 1").select(*keys, F.col("part").alias("text")).unionByName(over_borders)
 
     def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["tokens"] = batch["text"].map(lambda t: count(t, vocabulary))
             yield batch[["doc_id", "piece_no", "start_char", "end_char", "tokens", "cut_level", "text"]]
 
-    return whole.select("doc_id", "piece_no", "start_char", "end_char", "cut_level", text.alias("text")).mapInPandas(
-        recount, "doc_id bigint, piece_no int, start_char bigint, end_char bigint, tokens int, cut_level int, text string"
-    )
+    return pieces.mapInPandas(recount, "doc_id bigint, piece_no int, start_char bigint, end_char bigint, tokens int, cut_level int, text string")

@@ -29,7 +29,7 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("folder"), F.col("value").alias(name), F.col("_metadata.file_modification_time").alias(f"{name}_mtime")
     )
 

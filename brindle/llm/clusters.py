@@ -295,7 +295,7 @@ def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM)
     vectors = cut(vectors)
     n = vectors.count()
     if n == 0:
-        return vectors.selectExpr("id", "id AS cluster", "1D AS similarity", "id AS part", "1L AS size")
+        return vectors.selectExpr("id", "id AS cluster", "id AS part", "1L AS size", "vec", "1D AS similarity")
     centres, sizes = kmeans(vectors, max(1, math.ceil(n / CELL_ROWS)), dim)
     blocks = np.maximum(1, np.ceil(sizes / BLOCK_ROWS)).astype(np.int64)
 

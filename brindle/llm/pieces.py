@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,7 +65,7 @@ def _finer(words: list[str], offset: int, level: int, vocabulary: str) -> list[t
                 parts.append((chars, size))
                 held, size = b"", 0
         for chars, n in parts:
-            if out and (out[-1][2] + n <= LONG_WORD_TOKENS // 2 or word.isspace()):
+            if out and out[-1][2] + n <= LONG_WORD_TOKENS // 2:
                 out[-1][2] += n
             else:
                 out.append([offset, INSIDE if out else level, n])
@@ -95,7 +95,8 @@ def boundaries(text: str, start: int, end: int, codes: dict[str, int], vocabular
     offsets = start + np.concatenate([[0], np.cumsum(length)[:-1]])
     seen = np.flatnonzero(signs & _SPACE == 0)
     if not len(seen):
-        return np.array([start]), np.array([INSIDE if hard else WORD], np.int8), np.array([tokens.sum()], np.int32)
+        places, levels, sums = zip(*_finer(words, start, INSIDE if hard else WORD, vocabulary))
+        return np.array(places, np.int64), np.array(levels, np.int8), np.array(sums, np.int32)
     lines = np.cumsum(breaks)
     between = lines[seen] - np.concatenate([[0], lines[seen[:-1]]])
     spaced = (np.diff(seen, prepend=-1) > 1) | (signs[seen] & _SPACED > 0)
@@ -168,26 +169,33 @@ _PLAN = "doc_id bigint, start_char bigint, end_char bigint, planned_tokens int,
 GIANT_RANGES = 64
 
 
-def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ranges(size: int, halo: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Texts into ranges of ``size`` characters, each with one character before and a halo behind."""
     names = [c.split()[0] for c in _RANGE.split(", ")]
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            for k, start in enumerate(range(0, len(text), RANGE_CHARS)):
-                a, b = max(0, start - 1), min(len(text), start + RANGE_CHARS + HALO_CHARS)
-                rows.append((doc, k, start, a, start + RANGE_CHARS >= len(text), text[a:b]))
-            if len(rows) >= 256:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        yield pd.DataFrame(rows, columns=names)
-
-
-def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                for k, start in enumerate(range(0, len(text), size)):
+                    a, b = max(0, start - 1), min(len(text), start + size + halo)
+                    rows.append((doc, k, start, a, start + size >= len(text), text[a:b]))
+                if len(rows) >= 256:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def split_oversized(
+    documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY, range_chars: int = RANGE_CHARS, halo_chars: int = HALO_CHARS, segment_ranges: int = SEGMENT_RANGES
+) -> DataFrame:
     """``(doc_id, piece_no, start_char, end_char, tokens, cut_level, text)`` of the documents of more than ``limit`` tokens.
 
     Texts are cut into ranges of characters with a halo; each range finds its own boundaries
     and token counts, ranges join their boundary tables through prefix sums, pieces are planned per
-    segment of ``SEGMENT_RANGES`` ranges on the tables alone, and are emitted by offset from the
+    segment of ``segment_ranges`` ranges on the tables alone, and are emitted by offset from the
     ranges they touch, so that no task needs a whole giant text. Every character is in a piece, and
     consecutive pieces share ``overlap`` tokens, or as many more as the next word start before asks for. Null
     and empty texts and those within the limit give no row; repeated rows of a document count once.
@@ -196,8 +204,9 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
         raise ValueError("the overlap must be less than half the limit")
     # a text has at most as many tokens as bytes
     texts = documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit)).select("doc_id", "text")
-    giant = F.length("text") > GIANT_RANGES * RANGE_CHARS
-    ranges = texts.where(~giant).mapInPandas(_ranges, _RANGE).unionByName(texts.where(giant).mapInPandas(_ranges, _RANGE).repartition("doc_id", "range_no"))
+    cut_up = _ranges(range_chars, halo_chars)
+    giant = F.length("text") > GIANT_RANGES * range_chars
+    ranges = texts.where(~giant).mapInPandas(cut_up, _RANGE).unionByName(texts.where(giant).mapInPandas(cut_up, _RANGE).repartition("doc_id", "range_no"))
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[str, int] = {}
@@ -207,8 +216,8 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
                 alone = last and k == 0
                 if alone and len(chunk) < 6 * limit and count(chunk, vocabulary) <= limit:
                     continue
-                a = sync_point(chunk, start - base)
-                b = len(chunk) if last else sync_point(chunk, start - base + RANGE_CHARS)
+                a = sync_point(chunk, start - base, halo_chars)
+                b = len(chunk) if last else sync_point(chunk, start - base + range_chars, halo_chars)
                 hard = start > 0 and a == start - base and not chunk[a : a + 1].isspace()
                 at, level, size = boundaries(chunk, a, b, codes, vocabulary, hard, limit if alone else 0)
                 if len(codes) > 200_000:
@@ -225,8 +234,8 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     sums = per_range.select(
         "doc_id", "range_no", F.coalesce(F.sum("range_tokens").over(upto), F.lit(0)).alias("tokens_before"), F.sum("range_tokens").over(Window.partitionBy("doc_id")).alias("doc_tokens")
     ).where(F.col("doc_tokens") > limit)
-    own = F.floor(F.col("range_no") / SEGMENT_RANGES).cast("int")
-    is_end = F.col("range_no") % SEGMENT_RANGES == SEGMENT_RANGES - 1
+    own = F.floor(F.col("range_no") / segment_ranges).cast("int")
+    is_end = F.col("range_no") % segment_ranges == segment_ranges - 1
     segments = F.when(is_end & ~F.col("last"), F.array(own, own + 1)).otherwise(F.array(own))
     stitched = table.join(sums, ["doc_id", "range_no"]).withColumn("segment", F.explode(segments))
 
@@ -240,7 +249,7 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
             levels = np.concatenate([np.frombuffer(r[2], np.int8) for r in held])
             size = np.concatenate([np.frombuffer(r[3], np.int32) for r in held])
             prefix = held[0][4] + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            first = sum(len(r[1]) // 8 for r in held if r[0] < key[1] * SEGMENT_RANGES)
+            first = sum(len(r[1]) // 8 for r in held if r[0] < key[1] * segment_ranges)
             out.extend((key[0], *p) for p in plan_pieces(offsets, levels, prefix, first, held[-1][5], limit, overlap))
 
         for batch in batches:
@@ -259,10 +268,10 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
 
     plans = stitched.repartition("doc_id", "segment").sortWithinPartitions("doc_id", "segment", "range_no").mapInPandas(plan, _PLAN)
     numbered = cut(plans).withColumn("piece_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char", "end_char")))
-    touched = F.sequence(F.floor(F.col("start_char") / RANGE_CHARS).cast("int"), F.floor((F.col("end_char") - 1) / RANGE_CHARS).cast("int"))
+    touched = F.sequence(F.floor(F.col("start_char") / range_chars).cast("int"), F.floor((F.col("end_char") - 1) / range_chars).cast("int"))
     wanted = numbered.withColumn("touched", F.size(touched)).withColumn("range_no", F.explode(touched))
     part_from = F.greatest(F.col("start_char"), F.col("range_start"))
-    part_to = F.least(F.col("end_char"), F.col("range_start") + RANGE_CHARS)
+    part_to = F.least(F.col("end_char"), F.col("range_start") + range_chars)
     parts = wanted.join(chunks.dropDuplicates(["doc_id", "range_no"]), ["doc_id", "range_no"]).select(
         "doc_id", "piece_no", "start_char", "end_char", "cut_level", "range_no", "touched",
         F.substring("chunk", (part_from - F.col("chunk_start") + 1).cast("int"), (part_to - part_from).cast("int")).alias("part"),

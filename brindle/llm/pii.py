@@ -16,7 +16,7 @@ from brindle.llm.pii_model import ADDRESS_FORMS, DIGITS, EMAILS, FIGURES, FIRST,
 from brindle.llm.pii_samples import labelled_sample
 from brindle.llm.speech import name_words
 
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS = 4000
 FILTER_BITS = 22
 MEMO_ROWS = 200_000
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}

@@ -172,7 +172,7 @@ def name_spans(text: str, kind_of: Callable[[str], int]) -> Iterable[tuple[int,
         after = words[j] if j < n else "$"
         right_kind = "$" if j >= n else "p" if not after[0].isalnum() else "d" if after[0].isdigit() else _case(after)
         glued = i > 0 and starts[i] == ends[i - 1] and words[i - 1][-1] in "_@.-"
-        glued = glued or text[ends[j - 1] : ends[j - 1] + 1] in ("_", "@") or text[ends[j - 1] : ends[j - 1] + 1] == "." and text[ends[j - 1] + 1 : ends[j - 1] + 2].isalnum()
+        glued = glued or text[ends[j - 1] : ends[j - 1] + 1] in ("_", "@", "-") and ends[j - 1] < len(text) or text[ends[j - 1] : ends[j - 1] + 1] == "." and text[ends[j - 1] + 1 : ends[j - 1] + 2].isalnum()
         yield starts[i], ends[j - 1], (
             form, "".join([str(flags[k]) for k in inner]), "".join([_case(words[k]) for k in inner]), words[i - 1].lower() if i else "^", words[i - 2].lower() if i > 1 else "^",
             after.lower(), right_kind, i == 0 and (j == n or words[j:] == ["."]), glued,

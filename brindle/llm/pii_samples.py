@@ -16,8 +16,8 @@ Write to {e}.|My address is {e}.|Cc {e} please.|Log in as {e}.|Send the file to
 Call me on {p}.|My mobile is {p}.|Tel {p}|Tel. {p}.|phone {p}|M: {p}|Reach the desk at {p}.|Text {p} if the line drops.|The callback number {p} still works.|Ring {p} after lunch.
 My passport number is {i}.|The national ID on file reads {i}.|For the identity check use {i}.|Driver licence {i} is on the form.|Their tax number, {i}, was rejected.|Social security number {i} got exposed in the export.|(personal ID: {i}).|(personal ID: {i})|Insurance number {i} is wrong.
 Visit us at {a}.|I live at {a}.|Ship the headsets to {a}.|The invoice goes to {a}.|Our new office is at {a}.|{c}, {a}|{c}, {a}|We moved to {a}.
-Our ticket number is {t} and the request id was {r}.|The request id was {r}.|Request {r} failed.|Ticket {t} is open, request id {r}.|The log says build {v} of the chart stops.|It was smoother in version {v}.|The job ran at 04:06 and moved {k} rows in one go.|A retry on port 8443 with build {v} gave the same code 116.|X-Trace: {x}|The trace number {x} is in the log.|On 2026-05-06 07:12 it broke.|See page 12 of 2025-10-06.
-Mark my words, the chart will break.|Mark my words, he said.|<{s}> Mark my words, it stops.|[{n}, USER @ 03:12] Mark my words, it will need the same fix.|Mark my words, it will need the same fix.|Mark the case as solved.|Will this be part of the rose plan or only the grace period offer?|Will it work?|Will that change?|Will the export run?|The main street campaign uses the same field.|We hope the filter is stable.|Please mark the case as pending.|The grace period ends in 30 days.|The rose plan costs more.|Send it to the shared queue @support-tier2 once it works.|About 86 records were touched before it was paused.|For finance this means 79 extra clicks per day.|Hope this helps.|Grace period offers are over.|It takes about 25 minutes, which is fine.|We will turn the rule off and on in 12 days.|Between you and me, the 2 ways differ.|maps 3 dates the wrong way
+Our ticket number is {t} and the request id was {r}.|The request id was {r}.|Request {r} failed.|Ticket {t} is open, request id {r}.|The log says build {v} of the chart stops.|It was smoother in version {v}.|The job ran at 04:06 and moved {k} rows in one go.|A retry on port 8443 with build {v} gave the same code 116.|X-Trace: {x}|date: {d}|date: {d}|account: {c}|**{n} ({c})** - {d} 16:59|[tags: a, b] {d}|{d} 07:12 restarted|On {d} it broke.|{d}|ts={y};lvl=W;ms={y}|Row {y} failed.|Order {y} is late.|Build {y} is out.|The file has {y} bytes.|id {y}|code: {y}|see {r} for more|case {r} was closed|The trace number {x} is in the log.|On 2026-05-06 07:12 it broke.|See page 12 of 2025-10-06.
+Mark my words, the chart will break.|Mark my words, he said.|<{s}> Mark my words, it stops.|[{n}, USER @ 03:12] Mark my words, it will need the same fix.|Mark my words, it will need the same fix.|Mark the case as solved.|Will this be part of the rose plan or only the grace period offer?|Will it work?|Will that change?|Will the export run?|The main street campaign uses the same field.|We hope the filter is stable.|Please mark the case as pending.|The grace period ends in 30 days.|The rose plan costs more.|Send it to the shared queue @support-tier2 once it works.|About 86 records were touched before it was paused.|For finance this means 79 extra clicks per day.|Hope this helps.|Grace period offers are over.|It takes about 25 minutes, which is fine.|We will turn the rule off and on in 12 days.|Between you and me, the 2 ways differ.|maps 3 dates the wrong way|The chart will ne- need the fix.|The plan will re- read the file.|We will sa- save it, and Mark- ma- map it.|The rose pl- plan costs more.
 """
 COMPANIES = "Marlin Robotics|Ashford Foods|Birch Analytics|Cobalt Health|Delta Freight|Elmwood Insurance|Veltrona Support"
 FILLER = ["um,", "uh", "hmm,", "er,", "like,", "you know,", "[crosstalk]", "(laughs)"]
@@ -101,7 +101,7 @@ class Sampler:
         made = {
             "n": (self.name, NAME), "s": (lambda: self.rng.choice(self.firsts if self.rng.random() < 0.8 else self.lasts), NAME), "l": (lambda: self.rng.choice(self.lasts), NAME),
             "e": (self.email, EMAIL), "p": (self.phone, PHONE), "i": (self.identity, ID), "a": (self.address, ADDRESS), "c": (lambda: self.rng.choice(COMPANIES.split("|")), None),
-            "t": (lambda: self.fill(self.rng.choice(["AAA-9000", "AA-9000", "AAAA-9000"])), None), "r": (lambda: self.fill("AA9000000"), None), "v": (lambda: self.fill(self.rng.choice(["9.9.9", "9.19.9"])), None), "k": (lambda: self.fill("90,000"), None), "x": (lambda: self.fill("900000000000"), None),
+            "t": (lambda: self.fill(self.rng.choice(["AAA-9000", "AA-9000", "AAAA-9000"])), None), "r": (lambda: self.fill("AA9000000"), None), "v": (lambda: self.fill(self.rng.choice(["9.9.9", "9.19.9"])), None), "k": (lambda: self.fill("90,000"), None), "x": (lambda: self.fill("900000000000"), None), "d": (lambda: self.fill(self.rng.choice(["2029-09-20", "2020-12-09", "2021-01-00", "09.12.2029", "2029/09/09"])), None), "y": (lambda: self.fill(self.rng.choice(["9000000", "90000000", "900000000", "9000000000", "900000"])), None),
         }
         noisy = self.rng.random() < 0.15
         while "{" in rest:
@@ -118,7 +118,7 @@ class Sampler:
         return out + rest, gold
 
 
-def labelled_sample(rows: int = 2400, seed: int = 5) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], Sampler]:
+def labelled_sample(rows: int = 4000, seed: int = 5) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], Sampler]:
     """``rows`` labelled lines (the documented bound of the fit) and the sampler whose ``kind_of`` goes with them."""
     sampler = Sampler(seed)
     carriers = [c for line in CARRIERS.strip().splitlines() for c in line.split("|")]

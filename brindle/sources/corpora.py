@@ -21,11 +21,10 @@ CHANGE = "key string, id string, summary string, status string, priority string,
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files, one record each; broken ones have ``_corrupt_record``."""
-    return (
-        spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-        .withColumn("source_path", F.col("_metadata.file_path"))
-        .withColumn("source_mtime", F.col("_metadata.file_modification_time"))
-    )
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path, wholetext=True).select(
+        parsed.alias("r"), F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_modification_time").alias("source_mtime")
+    ).select("r.*", "source_path", "source_mtime")
 
 
 def _text(spark: SparkSession, path: str, name: str) -> DataFrame:

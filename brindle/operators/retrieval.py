@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.scalars import QUERY_WORD, dot, index_tokens
 from brindle.functions.stemming import plain, stem, vocabulary
+from brindle.sources.tables import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -85,6 +86,7 @@ def bm25_scores(docs: DataFrame, id_column: str, question: str, fields: tuple[st
     # as the variable of a lambda, a document's tokens are made once, however many terms read them
     doc = F.struct(*[index_tokens(F.col(c)).alias(f"f{k}") for k, c in enumerate(fields)])
     counted = docs.select(F.col(id_column).alias("id"), F.transform(F.array(doc), figures)[0].alias("d")).select("id", "d.*")
+    counted = cut(counted)  # a few numbers a document, read twice: the texts are read once
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("bigint")).alias(f"n{i}") for i in range(n)])
     found = F.lit(False)
     for i in range(n):

@@ -50,7 +50,7 @@ def parent_topics(assigned: DataFrame, records: DataFrame) -> DataFrame:
 
 def class_terms(texts: DataFrame, stopwords: list[str], bigrams: bool = True) -> DataFrame:
     """``(topic_id, term, tf)`` of one- and two-word terms; pairs form after the stop words are gone."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike("^[a-z]{2,}$") & ~w.isin(stopwords))
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{2,})(?![\p{L}\p{N}_])"), 1), lambda w: ~w.isin(stopwords))
     tokens = texts.select("topic_id", F.coalesce(words, F.array().cast("array<string>")).alias("w"))
     if bigrams:
         # zip_with pads the shorter side with null, and concat with null is null

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.tables import spread
+
 SEED_WORDS = 5
 LEAST_WORDS = 12
 WORDS_PER_EDIT = 8
@@ -213,7 +215,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOC
 
         return run
 
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    texts = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "doc_id")
     found = [texts.mapInPandas(scan(Passages(block)), _LEAK) for block in blocks]
     out = found[0]
     for more in found[1:]:

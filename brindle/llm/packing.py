@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.tokens import VOCABULARY, token_count
-from brindle.sources.tables import cut
+from brindle.sources.tables import cut, spread
 
 CAPACITY = 2048
 SHARD_ITEMS = 20_000
@@ -84,7 +84,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def sized_items(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, piece_no, item_tokens, token_from)``: one row per document, or per full container and rest of a longer one."""
     sized = (
-        documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
+        spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "doc_id")
         .select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens"))
         .groupBy("doc_id")
         .agg(F.max("tokens").alias("tokens"))

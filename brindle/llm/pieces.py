@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.tokens import SPLIT, VOCABULARY, count, encoding
-from brindle.sources.tables import cut
+from brindle.sources.tables import cut, spread
 
 LIMIT = 512
 OVERLAP = 64
@@ -203,7 +203,7 @@ def split_oversized(
     if not 0 <= 2 * overlap < limit:
         raise ValueError("the overlap must be less than half the limit")
     # a text has at most as many tokens as bytes
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit)).select("doc_id", "text")
+    texts = spread(documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit)).select("doc_id", "text"), "doc_id")
     cut_up = _ranges(range_chars, halo_chars)
     giant = F.length("text") > GIANT_RANGES * range_chars
     ranges = texts.where(~giant).mapInPandas(cut_up, _RANGE).unionByName(texts.where(giant).mapInPandas(cut_up, _RANGE).repartition("doc_id", "range_no"))

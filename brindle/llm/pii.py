@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from brindle.llm.pii_model import ADDRESS_FORMS, DIGITS, EMAILS, FIGURES, FIRST, LAST, NAMES, PLACES, STREETS, TITLES, Scorer, decode, train
 from brindle.llm.pii_samples import labelled_sample
 from brindle.llm.speech import name_words
+from brindle.sources.tables import spread
 
 SAMPLE_ROWS = 4000
 FILTER_BITS = 22
@@ -219,10 +220,10 @@ def find_personal(df: DataFrame, key: str, text: str, lexicon: Lexicon, weights:
     Null and empty texts and rows without a key give nothing; nothing is shuffled but the distinct items.
     """
     rows = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text")).where("row_key IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(_scan(lexicon, weights or model(), False), "row_key string, pii_type string, mention string")
+    return spread(rows, "row_key").mapInArrow(_scan(lexicon, weights or model(), False), "row_key string, pii_type string, mention string")
 
 
 def redact_personal(df: DataFrame, key: str, text: str, lexicon: Lexicon, weights: dict[str, float] | None = None) -> DataFrame:
     """``(row_key, text)``: every row with each item replaced by the placeholder of its type; null stays null, empty stays empty."""
     rows = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan(lexicon, weights or model(), True), "row_key string, text string")
+    return spread(rows, "row_key").mapInArrow(_scan(lexicon, weights or model(), True), "row_key string, text string")

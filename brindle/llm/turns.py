@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from brindle.llm.speech import label_key, person_keys, read_utterance
-from brindle.sources.tables import cut
+from brindle.sources.tables import cut, spread
 
 CHUNK_MS = 600_000
 
@@ -58,7 +58,7 @@ def clean_utterances(transcript: DataFrame, recording: DataFrame) -> DataFrame:
     Utterances without a recording are left out. Only those without an
     ``inMeetingId`` look up a person, first by display name, then by the label in the text.
     """
-    read = transcript.where("recordingId IS NOT NULL").select(
+    read = spread(transcript.where("recordingId IS NOT NULL").select("recordingId", "utterance_id", "offsetMs", "durationMs", "speaker", "text"), "utterance_id").select(
         "recordingId",
         "utterance_id",
         "offsetMs",

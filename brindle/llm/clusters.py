@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.sources.tables import cut
+from brindle.sources.tables import cut, spread
 
 DIM = 64
 TEXT_DIM = 256
 TEXT_COSINE = 0.5
+WEIGHT_BUCKETS = 1 << 18
+_WORD = re.compile(r"[^\W\d_][\w'’-]+")
 COSINE = 0.78
 CELL_ROWS = 4000
 BLOCK_ROWS = 3000
@@ -64,35 +68,60 @@ def unit_vectors(df: DataFrame, id_column: str, vector_column_name: str, dim: in
     return rows.groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(normalise, _UNIT)
 
 
+class _Words:
+    """Hashes of the words of texts: a place among ``WEIGHT_BUCKETS``, a place in the vector and a sign."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim, self.memo = dim, {}
+
+    def of(self, text: str) -> np.ndarray:
+        words = _WORD.findall(text.lower())
+        codes = list(map(self.memo.get, words))
+        if None in codes:
+            for w in set(words):
+                if w not in self.memo:
+                    h = zlib.crc32(w.encode()), zlib.crc32(w.encode(), 77)
+                    self.memo[w] = h[0] % WEIGHT_BUCKETS | h[1] % self.dim << 20 | (h[1] >> 30 & 1) << 40
+            codes = list(map(self.memo.get, words))
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+        return np.array(codes, np.int64)
+
+
 def hashed_vectors(df: DataFrame, id_column: str, text_column: str, dim: int = TEXT_DIM) -> DataFrame:
     """``(id, vec)``: hashed weighted features of a text.
 
     Every word falls into one of ``dim`` buckets with a sign, both from its hash, and adds
-    (1 + ln tf) * ln(N / df), where df counts the rows of the word over the whole table.
-    Null and wordless texts have no vector and are left out.
+    (1 + ln tf) * ln(N / df). N counts the rows with a text and df those with the word, over the whole table; df is
+    kept by a second hash into 2^18 places, which bounds what is counted and sent to the tasks.
+    Null and wordless texts have no vector and are left out; repeated ids count once.
     """
-    words = (
-        df.where(F.col(id_column).isNotNull())
-        .groupBy(F.col(id_column).alias("id"))
-        .agg(F.max(text_column).alias("text"))
-        .select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\p{L}[\p{L}'’-]+)"), 1)).alias("word"))
-    )
-    tf = words.groupBy("id", "word").agg(F.count("*").alias("tf"))
-    total = words.select(F.approx_count_distinct("id", 0.01).alias("n"))
-    weights = tf.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", F.greatest(F.log(F.col("n") / F.col("df")), F.lit(0.0)).alias("idf"))
-    h = F.xxhash64("word")
-    sign = F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)
-    parts = tf.join(weights, "word").select("id", F.pmod(h, F.lit(dim)).cast("int").alias("bucket"), ((F.lit(1.0) + F.log("tf")) * F.col("idf") * sign).alias("w"))
-    per_text = parts.groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("w").alias("weights"))  # bounded by one text's words
-
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = spread(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"), "id")
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total, n = _Words(dim), np.zeros(WEIGHT_BUCKETS, np.int64), 0
+        for batch in batches:
+            seen = [np.unique(words.of(t) & 0xFFFFF) for t in batch.column(1).to_pylist()]
+            n += len(seen)
+            total += np.bincount(np.concatenate(seen) if seen else np.zeros(0, np.int64), minlength=WEIGHT_BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], names=["place", "n"])
+
+    counted = texts.mapInArrow(frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most 2^18 + 1 rows
+    place, n = counted.column("place").to_numpy(), counted.column("n").to_numpy()
+    weight = np.zeros(WEIGHT_BUCKETS, np.float32)
+    weight[place[place >= 0]] = np.log(np.maximum(1.0, n[place < 0].sum() / n[place >= 0]))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(dim)
         for batch in batches:
             out = np.zeros((batch.num_rows, dim))
-            rows = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
-            np.add.at(out, (rows, batch.column(1).flatten().to_numpy()), batch.column(2).flatten().to_numpy())
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                code, tf = np.unique(words.of(t), return_counts=True)
+                np.add.at(out[i], code >> 20 & 0xFFFFF, (1 + np.log(tf)) * weight[code & 0xFFFFF] * np.where(code >> 40, 1.0, -1.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), vector_column(out)], names=["id", "vec"])
 
-    return unit_vectors(per_text.mapInArrow(scatter, _UNIT), "id", "vec", dim)
+    return unit_vectors(texts.mapInArrow(vectors, _UNIT), "id", "vec", dim)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

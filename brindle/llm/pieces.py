@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -169,27 +169,15 @@ _PLAN = "doc_id bigint, start_char bigint, end_char bigint, planned_tokens int,
 GIANT_RANGES = 64
 
 
-def _ranges(size: int, halo: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Texts into ranges of ``size`` characters, each with one character before and a halo behind."""
-    names = [c.split()[0] for c in _RANGE.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                for k, start in enumerate(range(0, len(text), size)):
-                    a, b = max(0, start - 1), min(len(text), start + size + halo)
-                    rows.append((doc, k, start, a, start + size >= len(text), text[a:b]))
-                if len(rows) >= 256:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    return run
+def _ranges(text: str, size: int, halo: int) -> Iterator[tuple[int, int, int, bool, str]]:
+    """``(range_no, range_start, chunk_start, last, chunk)``: ranges of ``size`` characters, each with one character before and a halo behind."""
+    for k, start in enumerate(range(0, len(text), size)):
+        a = max(0, start - 1)
+        yield k, start, a, start + size >= len(text), text[a : start + size + halo]
 
 
 def split_oversized(
-    documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY, range_chars: int = RANGE_CHARS, halo_chars: int = HALO_CHARS, segment_ranges: int = SEGMENT_RANGES
+    documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY, range_chars: int = RANGE_CHARS, halo_chars: int = HALO_CHARS, segment_ranges: int = SEGMENT_RANGES, giant_ranges: int = GIANT_RANGES
 ) -> DataFrame:
     """``(doc_id, piece_no, start_char, end_char, tokens, cut_level, text)`` of the documents of more than ``limit`` tokens.
 
@@ -204,29 +192,45 @@ def split_oversized(
         raise ValueError("the overlap must be less than half the limit")
     # a text has at most as many tokens as bytes
     texts = spread(documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit)).select("doc_id", "text"), "doc_id")
-    cut_up = _ranges(range_chars, halo_chars)
-    giant = F.length("text") > GIANT_RANGES * range_chars
-    ranges = texts.where(~giant).mapInPandas(cut_up, _RANGE).unionByName(texts.where(giant).mapInPandas(cut_up, _RANGE).repartition("doc_id", "range_no"))
-
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in _TABLE.split(", ")]
+
+    def boundary_row(codes: dict[str, int], doc: int, k: int, start: int, base: int, last: bool, chunk: str) -> tuple | None:
+        alone = last and k == 0
+        if alone and len(chunk) < 6 * limit and count(chunk, vocabulary) <= limit:
+            return None
+        a = sync_point(chunk, start - base, halo_chars)
+        b = len(chunk) if last else sync_point(chunk, start - base + range_chars, halo_chars)
+        hard = start > 0 and a == start - base and not chunk[a : a + 1].isspace()
+        at, level, size = boundaries(chunk, a, b, codes, vocabulary, hard, limit if alone else 0)
+        if len(codes) > 200_000:
+            codes.clear()
+        if alone and not len(at):
+            return None
+        return doc, k, start, base, last, chunk, (at + base).tobytes(), level.tobytes(), size.tobytes(), int(size.sum()), b + base
+
+    def whole_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Boundary tables of the ranges; those of a giant text are only cut here, to be dealt over the tasks."""
         codes: dict[str, int] = {}
         for batch in batches:
-            rows = []
-            for doc, k, start, base, last, chunk in zip(*[batch[c] for c in ("doc_id", "range_no", "range_start", "chunk_start", "last", "chunk")]):
-                alone = last and k == 0
-                if alone and len(chunk) < 6 * limit and count(chunk, vocabulary) <= limit:
-                    continue
-                a = sync_point(chunk, start - base, halo_chars)
-                b = len(chunk) if last else sync_point(chunk, start - base + range_chars, halo_chars)
-                hard = start > 0 and a == start - base and not chunk[a : a + 1].isspace()
-                at, level, size = boundaries(chunk, a, b, codes, vocabulary, hard, limit if alone else 0)
-                if len(codes) > 200_000:
-                    codes.clear()
-                if not alone or len(at):
-                    rows.append((doc, k, start, base, last, chunk, (at + base).tobytes(), level.tobytes(), size.tobytes(), int(size.sum()), b + base))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TABLE.split(", ")])
-
-    whole_table = cut(ranges.mapInPandas(tables, _TABLE))
+            rows: list[tuple | None] = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                giant = len(text) > giant_ranges * range_chars
+                for part in _ranges(text, range_chars, halo_chars):
+                    rows.append((doc, *part, None, None, None, 0, 0) if giant else boundary_row(codes, doc, *part))
+                    if len(rows) >= 512:
+                        yield pd.DataFrame([r for r in rows if r], columns=names)
+                        rows = []
+            yield pd.DataFrame([r for r in rows if r], columns=names)
+
+    def single_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes: dict[str, int] = {}
+        for batch in batches:
+            rows = [boundary_row(codes, *r) for r in zip(*[batch[c] for c in ("doc_id", "range_no", "range_start", "chunk_start", "last", "chunk")])]
+            yield pd.DataFrame([r for r in rows if r], columns=names)
+
+    first_pass = cut(texts.mapInPandas(whole_texts, _TABLE))
+    dealt = first_pass.where("starts IS NULL").drop("starts", "levels", "tokens", "range_tokens", "range_end").repartition("doc_id", "range_no")
+    whole_table = first_pass.where("starts IS NOT NULL").unionByName(cut(dealt.mapInPandas(single_ranges, _TABLE)))
     chunks = whole_table.select("doc_id", "range_no", "range_start", "chunk_start", "chunk")
     table = whole_table.drop("chunk", "range_start", "chunk_start")
     per_range = table.groupBy("doc_id", "range_no").agg(F.max("range_tokens").alias("range_tokens"))

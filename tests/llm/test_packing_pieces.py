@@ -49,11 +49,10 @@ def texts():
     }
 
 
-def test_pieces_cover_and_overlap(spark, monkeypatch):
-    monkeypatch.setattr(P, "GIANT_RANGES", 4)
+def test_pieces_cover_and_overlap(spark):
     source = texts()
     rows = [(k, t, 1) for k, t in source.items()] + [(10, None, 1), (11, "", 1), (None, source[1], 1), (1, source[1], 2)]
-    got = P.split_oversized(spark.createDataFrame(rows, "doc_id bigint, text string, piece_no int"), limit=120, overlap=20, range_chars=2000, halo_chars=200, segment_ranges=3).toPandas().sort_values(["doc_id", "piece_no"])
+    got = P.split_oversized(spark.createDataFrame(rows, "doc_id bigint, text string, piece_no int"), limit=120, overlap=20, range_chars=2000, halo_chars=200, segment_ranges=3, giant_ranges=4).toPandas().sort_values(["doc_id", "piece_no"])
     assert set(got.doc_id) == {k for k, t in source.items() if count(t) > 120}
     for doc, part in got.groupby("doc_id"):
         text, end = source[doc], 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.plans import problems, reference
+from brindle.plans import corpus, problems
 
-QUERIES = {**reference.QUERIES, **problems.QUERIES}
-SQL = {**reference.SQL, **problems.SQL}
+QUERIES = {**corpus.QUERIES, **problems.QUERIES}
+SQL = {**corpus.SQL, **problems.SQL}

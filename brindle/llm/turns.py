@@ -69,11 +69,10 @@ def clean_utterances(transcript: DataFrame, recording: DataFrame) -> DataFrame:
     rows = read.where("r.spoken IS NOT NULL").select(
         "recordingId", "utterance_id", "offsetMs", "durationMs", "given_id", "r.cue_ms", "r.label_key", "r.name_key", "r.spoken"
     )
-    known = people(transcript, recording)
-    for key, out in (("name_key", "by_name"), ("label_key", "by_label")):
-        found = known.select("recordingId", F.col("name_key").alias("_key"), F.col("speaker_id").alias(out))
-        wanted = F.when(F.col("given_id").isNull(), F.col(key))
-        rows = rows.withColumn("_key", wanted).join(found, ["recordingId", "_key"], "left").drop("_key")
+    # one row per recording, bounded by its people; rows that name their speaker by id only pass through
+    known = people(transcript, recording).groupBy("recordingId").agg(F.map_from_entries(F.collect_list(F.struct("name_key", "speaker_id"))).alias("known"))
+    rows = rows.join(known, "recordingId", "left")
+    named = lambda key: F.try_element_at("known", F.col(key))
     at = F.coalesce("offsetMs", "cue_ms")
     return rows.select(
         "recordingId",
@@ -82,7 +81,7 @@ def clean_utterances(transcript: DataFrame, recording: DataFrame) -> DataFrame:
         "cue_ms",
         "offsetMs",
         (at + F.coalesce("durationMs", F.lit(0))).alias("end_ms"),
-        F.coalesce("given_id", "by_name", "by_label").alias("speaker_id"),
+        F.coalesce(F.col("given_id"), named("name_key"), named("label_key")).alias("speaker_id"),
         "spoken",
     )
 

@@ -295,14 +295,16 @@ _LATEST_CALL = "calls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 
 @query(
     "call_headers",
-    f"""WITH {_LATEST_CALL} SELECT id, coalesce(attributes.title, '') || chr(10) || 'account: ' || coalesce(account_id, '') || chr(10) || 'date: ' || coalesce(nullif(substr(attributes.createdAt, 1, 10), ''), '') || chr(10) || 'participants: ' ||
+    f"""WITH {_LATEST_CALL} SELECT id, coalesce(attributes.title, '') || chr(10) || 'account: ' || coalesce(nullif({_STRIP.format('a.name')}, ''), calls.account_id, '') || chr(10) || 'date: ' || coalesce(nullif(substr(attributes.createdAt, 1, 10), ''), '') || chr(10) || 'participants: ' ||
 coalesce(array_to_string(list_transform(attributes.participants, lambda p: coalesce(nullif(p.displayName, ''), nullif(p.firstName, ''), 'Unknown') || ' [' || coalesce(nullif(p."type", ''), 'UNKNOWN') || ']'), ', '), '') AS header,
-nullif(attributes.mediaDurationSeconds, 0) AS duration_seconds FROM calls""",
+nullif(attributes.mediaDurationSeconds, 0) AS duration_seconds FROM calls LEFT JOIN accounts a ON a.account_id = calls.account_id""",
 )
 def call_headers(spark: SparkSession, root: str) -> DataFrame:
-    calls = latest_by(table(spark, root, "recording"), "id", "loaded_at", "account_id", "attributes")
+    names = table(spark, root, "accounts").select("account_id", S.strip(F.col("name")).alias("account_name"))
+    calls = latest_by(table(spark, root, "recording"), "id", "loaded_at", "account_id", "attributes").join(names, "account_id", "left")
+    account = F.coalesce(F.when(F.length("account_name") > 0, F.col("account_name")), F.col("account_id"), F.lit(""))
     blank = lambda c: F.coalesce(c, F.lit(""))
-    header = S.call_header(blank(F.col("attributes.title")), blank(F.col("account_id")), blank(S.date_only(F.col("attributes.createdAt"))), S.participants(F.col("attributes.participants")))
+    header = S.call_header(blank(F.col("attributes.title")), account, blank(S.date_only(F.col("attributes.createdAt"))), S.participants(F.col("attributes.participants")))
     return calls.select("id", header.alias("header"), S.duration_seconds(F.col("attributes.mediaDurationSeconds")).alias("duration_seconds"))
 
 

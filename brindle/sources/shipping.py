@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from brindle.sources.tables import checkpoint_dir
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds a zip of this package to the application's Python files, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
+    """Adds a zip of this package, written to the shared checkpoint folder, to the application's Python files; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
+    target = context._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{context.applicationId}/{root.name}.zip")
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(target.toString())
+    _shipped.add(context.applicationId)

@@ -28,6 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of an input of fewer splits than cores, dealt over the cores by a hash of ``key`` before work in Python; a larger input as it is."""
+    """Rows of an input of fewer splits than cores, dealt over the cores by a hash of ``key`` before work in Python; a larger input as it is.
+
+    For plain scans: counting the splits of a plan with shuffles would run them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

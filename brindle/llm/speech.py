@@ -24,6 +24,13 @@ _LABEL = re.compile(
 _DECORATION = re.compile(rf"\s*(?:\([^)]*\)|\[[^\]]*\]|\|.*$|\s[-–—]\s*{ROLE}\s*$)")
 
 
+_NOTE_FIRST = re.compile(rf"\s*(?:{_NOTE.pattern})\s*")
+_HESITATION_FIRST = re.compile(rf"\s*(?:{HESITATION.pattern})\s*", re.I)
+_INNER_TIME = re.compile(rf"[\[(<]\s*{_CLOCK}\s*[\])>]|@\d+m\d+s\b")
+_SIGNS = re.compile(r"[\[(<{*♪♫@]|--")
+_BLANKS, _LOOSE, _SAID = re.compile(r"\s+"), re.compile(r" ([,.;:?!])"), re.compile(r"[^\W_]")
+
+
 def milliseconds(match: re.Match) -> int:
     """The time that ``_TIME`` matched, in milliseconds."""
     clock = match[1] or match[2]
@@ -54,21 +61,24 @@ def read_utterance(text: str | None) -> tuple[int | None, str | None, str | None
     if text is None:
         return None, None, None
     at, label, rest = None, None, text
+    signs = _SIGNS.search(text) is not None
     while True:
         if m := _TIME.match(rest):
             at = milliseconds(m) if at is None else at
             rest = rest[m.end() :]
-        elif m := re.match(rf"\s*(?:{_NOTE.pattern})\s*", rest):
+        elif signs and (m := _NOTE_FIRST.match(rest)):
             rest = rest[m.end() :]
-        elif m := re.match(rf"\s*(?:{HESITATION.pattern})\s*", rest, re.I):
+        elif m := _HESITATION_FIRST.match(rest):
             rest = rest[m.end() :]
         elif label is None and (m := _LABEL.match(rest)) and _named(m[m.lastindex]):
             label, rest = m[m.lastindex], rest[m.end() :]
         else:
             break
-    spoken = re.sub(rf"[\[(<]\s*{_CLOCK}\s*[\])>]|@\d+m\d+s\b", " ", HESITATION.sub(" ", _NOTE.sub(" ", rest)))
-    spoken = re.sub(r"\s+([,.;:?!])", r"\1", re.sub(r"\s+", " ", spoken)).strip(" ,-–—")
-    return at, label, spoken if re.search(r"[^\W_]", spoken) else None
+    spoken = HESITATION.sub(" ", rest)
+    if signs:
+        spoken = _INNER_TIME.sub(" ", HESITATION.sub(" ", _NOTE.sub(" ", rest)))
+    spoken = _LOOSE.sub(r"\1", _BLANKS.sub(" ", spoken)).strip(" ,-–—")
+    return at, label, spoken if _SAID.search(spoken) else None
 
 
 def name_words(name: str | None) -> list[str]:

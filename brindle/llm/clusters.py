@@ -25,7 +25,8 @@ CELL_ROWS = 4000
 BLOCK_ROWS = 3000
 SEED_ROUNDS = 3
 LLOYD_ROUNDS = 2
-PROBES = 3
+PAIR_ROWS = 32768
+SPREAD_ROWS = 4096
 _UNIT = "id string, vec array<float>"
 
 
@@ -254,55 +255,70 @@ def _fine_clusters(ids: pd.Series, x: np.ndarray, cosine: float) -> np.ndarray:
     return link(centres, cosine)[near]
 
 
-def link(centres: np.ndarray, cosine: float) -> np.ndarray:
-    """Smallest index of each centre's component, centres of at least this cosine being linked; in blocks of rows."""
-    label = np.arange(len(centres))
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, len(centres), 2048):
-        i, j = np.nonzero(centres[a : a + 2048] @ centres.T >= cosine)
-        off = i + a != j
-        pairs.append((i[off] + a, j[off]))
-    i, j = np.concatenate([p[0] for p in pairs] or [label[:0]]), np.concatenate([p[1] for p in pairs] or [label[:0]])
+def near_pairs(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of all pairs of a row of ``x`` and one of ``y`` of at least this cosine; in tiles, those at the edge decided in double precision."""
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(x), 2048):
+        for b in range(0, len(y), 2048):
+            s = x[a : a + 2048] @ y[b : b + 2048].T
+            i, j = np.nonzero(s >= cosine - 1e-5)
+            edge = np.flatnonzero(s[i, j] < cosine + 1e-5)
+            exact = np.einsum("ij,ij->i", x[a + i[edge]].astype(np.float64), y[b + j[edge]].astype(np.float64))
+            far = edge[exact < cosine]
+            rows.append(np.delete(i, far) + a)
+            columns.append(np.delete(j, far) + b)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index of each node's component."""
+    label = np.arange(n)
     while True:
         new = label.copy()
         np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-_MEMBER = "id string, vec array<float>, part string, n long"
+def link(centres: np.ndarray, cosine: float) -> np.ndarray:
+    """Smallest index of each centre's component, centres of at least this cosine being linked."""
+    return components(len(centres), *near_pairs(centres, centres, cosine))
+
+
+def _blocks(n: int) -> int:
+    """Blocks of at most about ``PAIR_ROWS`` rows; up to four smaller ones, so that the pairs of blocks keep some cores busy."""
+    return max(math.ceil(n / PAIR_ROWS), min(4, math.ceil(n / SPREAD_ROWS)), 1)
 
 
-def _stitch(parts: DataFrame, centres: np.ndarray, cosine: float, dim: int) -> DataFrame:
+_MEMBER = "id string, vec array<float>, part string, n long, lead array<float>"
+
+
+def _stitch(parts: DataFrame, cosine: float, dim: int) -> DataFrame:
     """``(part, cluster)`` for the partial clusters that belong with others.
 
-    The centroid of each partial cluster visits the cells of its nearest ``PROBES`` coarse
-    centres and is linked there; the links then spread by the smallest key until none changes.
+    The ``lead`` vectors of all partial clusters are compared with each other: they are cut into blocks by a
+    hash, and every pair of blocks is one group. The links then spread by the smallest key until none changes.
     """
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(matrix(batch.column(1), dim))
-            s = x @ centres.T
-            m = min(PROBES, len(centres))
-            cells = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            rows = pa.array(np.repeat(np.arange(len(x)), m))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), vector_column(x).take(rows), pa.array(cells.ravel())], names=["part", "vec", "cell"])
+    blocks = _blocks(parts.count())
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
-        label = link(matrix(group.column("vec"), dim), cosine)
+        x, own = matrix(group.column("lead"), dim), group.column("own").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        i, j = near_pairs(x[a], x[b], cosine)
+        label = components(len(x), a[i], b[j])
         size = np.bincount(label, minlength=len(label))
         take = pa.array(np.flatnonzero(size[label] > 1))
         keys = group.column("part").combine_chunks()
-        return pa.table({"part": keys.take(take), "meeting": pa.array([f"{c}:{k}" for c, k in zip(group.column("cell").take(take).to_pylist(), keys.take(pa.array(label)).take(take).to_pylist())], pa.string())})
+        return pa.table({"part": keys.take(take), "meeting": pa.array([f"{low}:{high}:{k}" for k in keys.take(pa.array(label)).take(take).to_pylist()], pa.string())})
 
-    visits = parts.select(F.col("part"), "vec").mapInArrow(visit, "part string, vec array<float>, cell long")
-    edges = cut(visits.groupBy("cell").applyInArrow(meet, "part string, meeting string"))
+    dealt = parts.select("part", "lead", F.pmod(F.xxhash64("part"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    pairs = dealt.select("part", "lead", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    edges = cut(pairs.groupBy("low", "high").applyInArrow(meet, "part string, meeting string"))
     labels = edges.groupBy("part").agg(F.min("part").alias("cluster"))
     while True:
         at = edges.join(labels, "part").groupBy("meeting").agg(F.min("cluster").alias("cluster"))
@@ -343,14 +359,14 @@ def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM)
         sums = np.zeros((len(x), dim))
         np.add.at(sums, label, x)
         used, count = np.unique(label, return_counts=True)
-        ends = pa.table({"id": pa.nulls(len(used), pa.string()), "vec": vector_column(sums[used]), "part": pa.array(ids.to_numpy()[first.loc[used].to_numpy()], pa.string()), "n": pa.array(count)})
-        rows = pa.table({"id": group.column("id"), "vec": vector_column(x), "part": pa.array(part, pa.string()), "n": pa.nulls(len(x), pa.int64())})
+        ends = pa.table({"id": pa.nulls(len(used), pa.string()), "vec": vector_column(sums[used]), "part": pa.array(ids.to_numpy()[first.loc[used].to_numpy()], pa.string()), "n": pa.array(count), "lead": vector_column(_unit(sums[used]))})
+        rows = pa.table({"id": group.column("id"), "vec": vector_column(x), "part": pa.array(part, pa.string()), "n": pa.nulls(len(x), pa.int64()), "lead": pa.nulls(len(x), pa.list_(pa.float32()))})
         return pa.concat_tables([rows, ends])
 
     placed = vectors.mapInArrow(place, _UNIT + ", cell long, block long")
     both = cut(placed.groupBy("cell", "block").applyInArrow(fine, _MEMBER))
-    parts, rows = both.where("id IS NULL").drop("id"), both.where("id IS NOT NULL").drop("n")
-    named = parts.join(_stitch(parts, centres, cosine, dim), "part", "left").withColumn("cluster", F.coalesce("cluster", "part"))
+    parts, rows = both.where("id IS NULL").drop("id"), both.where("id IS NOT NULL").drop("n", "lead")
+    named = parts.join(_stitch(parts, cosine, dim), "part", "left").withColumn("cluster", F.coalesce("cluster", "part"))
     whole = named.groupBy("cluster").agg(F.sum("n").alias("size"), *[F.sum(F.col("vec")[i].cast("double")).alias(f"d{i}") for i in range(dim)])
     centroid = F.array(*[F.col(f"d{i}") for i in range(dim)])
     described = named.select("part", "cluster").join(whole.select("cluster", "size", centroid.cast("array<float>").alias("centroid")), "cluster")

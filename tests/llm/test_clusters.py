@@ -43,3 +43,17 @@ def test_empty_and_text_vectors(spark):
     texts = spark.createDataFrame([("a", "red chart breaks"), ("b", "red chart breaks"), ("c", "blue export waits"), ("d", None), ("e", "!")], "id string, text string")
     got = {r["id"]: np.array(r["vec"]) for r in C.hashed_vectors(texts, "id", "text").collect()}
     assert set(got) == {"a", "b", "c"} and np.isclose(got["a"] @ got["b"], 1) and got["a"] @ got["c"] < 0.5
+
+
+def found(df):
+    return {tuple(r) for r in C.tight_clusters(C.cluster_members(C.unit_vectors(df, "id", "embedding"))).collect()}
+
+
+def test_parts_meet_however_far_their_cells_are(spark, monkeypatch):
+    axis = np.eye(64)
+    ends = [axis[0], 0.8 * axis[0] + 0.6 * axis[1]]
+    cells = np.array([e + 0.1 * axis[k] for e in ends for k in (2, 3, 4)])  # three cells at each end of one cluster
+    cells /= np.linalg.norm(cells, axis=1, keepdims=True)
+    monkeypatch.setattr(C, "kmeans", lambda vectors, k, dim: (cells.astype(np.float32), np.full(6, 5.0)))
+    rows = [(f"r{k}", (ends[k // 5] + 1e-3 * axis[10 + k]).tolist()) for k in range(10)]
+    assert found(spark.createDataFrame(rows, "id string, embedding array<float>")) == {("r0", f"r{k}") for k in range(10)}

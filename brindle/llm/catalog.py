@@ -31,7 +31,7 @@ def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_text_clusters(spark: SparkSession, root: str) -> DataFrame:
-    return describe_clusters(cluster_members(hashed_vectors(table(spark, root, "records"), "id", "text"), TEXT_COSINE, TEXT_DIM))
+    return describe_clusters(cluster_members(hashed_vectors(table(spark, root, "records"), "id", "text"), TEXT_COSINE, TEXT_DIM, centroids=True))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

@@ -222,29 +222,39 @@ def kmeans(vectors: DataFrame, k: int, dim: int = DIM) -> tuple[np.ndarray, np.n
     return centres, _sums(vectors, centres, dim)[0]
 
 
-def _fine_clusters(ids: pd.Series, x: np.ndarray, cosine: float) -> np.ndarray:
-    """Cluster number of each row of one block: k-means seeded until each row is near a seed.
+def _leaders(ids: pd.Series, x: np.ndarray, cosine: float) -> np.ndarray:
+    """Rows of one block as k-means seeds: no two have this cosine, and each row has it with at least one.
 
     Each round draws up to 256 of the rows that no seed is near to, by cost, and keeps those
-    that are not near an earlier draw. Then Lloyd steps, and clusters with near centres become one.
+    that are not near an earlier draw.
     """
-    best, seeds, r = np.full(len(x), -1.0, np.float32), np.zeros((0, x.shape[1]), np.float32), 0
-    while len(open_rows := np.flatnonzero(best < cosine)):
-        key = np.log(draws(ids.iloc[open_rows], 100 + r)) / (1 - best[open_rows])
+    best, seeds, r = np.full(len(x), -1.0, np.float32), np.zeros(0, np.int64), 0
+    open_rows = np.arange(len(x))
+    while len(open_rows):
+        key = np.log(draws(ids.iloc[open_rows], 100 + r)) / np.maximum(1 - best[open_rows], 1e-9)
         drawn = open_rows[np.argsort(-key, kind="stable")[:256]]
-        s = x[drawn] @ x[drawn].T >= cosine
+        s = np.zeros((len(drawn), len(drawn)), bool)
+        s[near_pairs(x[drawn], x[drawn], cosine)] = True
         keep: list[int] = []
         blocked = np.zeros(len(drawn), bool)
         for i in range(len(drawn)):
             if not blocked[i]:
                 keep.append(i)
                 blocked |= s[i]
-        new = x[drawn[keep]]
-        best[drawn] = 1.0
-        rest = np.flatnonzero(best < 1.0)
-        best[rest] = np.maximum(best[rest], (x[rest] @ new.T).max(1)) if len(rest) else best[rest]
-        seeds, r = np.vstack([seeds, new]), r + 1
-    centres = seeds
+        new = drawn[keep]
+        done = np.zeros(len(x), bool)
+        done[drawn] = True
+        done[open_rows[near_pairs(x[open_rows], x[new], cosine)[0]]] = True
+        open_rows = open_rows[~done[open_rows]]
+        if len(open_rows):
+            best[open_rows] = np.maximum(best[open_rows], (x[open_rows] @ x[new].T).max(1))
+        seeds, r = np.append(seeds, new), r + 1
+    return seeds
+
+
+def _fine_clusters(x: np.ndarray, seeds: np.ndarray, cosine: float) -> np.ndarray:
+    """Cluster number of each row of one block: Lloyd steps from the seeds, and clusters with near centres become one."""
+    centres = x[seeds]
     for _ in range(2):
         near, _ = _nearest(x, centres)
         sums = np.zeros(centres.shape)
@@ -329,13 +339,18 @@ def _stitch(parts: DataFrame, cosine: float, dim: int) -> DataFrame:
             return labels
 
 
-def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM) -> DataFrame:
+def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM, centroids: bool = False) -> DataFrame:
     """``(id, cluster, similarity, part, size)``: each row's cluster, its cosine with the centroid, and the cluster's size.
 
     Coarse cells come from k-means over all rows (about ``CELL_ROWS`` rows a cell). A cell's rows are
     spread over blocks of about ``BLOCK_ROWS`` by a hash of the id, so a cluster that holds
-    a third of all rows is worked on by many tasks; each block finds its clusters by
-    k-means, and only their sums and sizes meet again in ``_stitch``.
+    a third of all rows is worked on by many tasks; each block finds its parts by
+    k-means, and only their sums, sizes and leads meet again in ``_stitch``.
+
+    A part is what is nearest to one seed, a row itself, and parts are joined whose seeds have the cosine. A group whose
+    members all have it with each other and less with every other row is therefore found whole and
+    alone: it has one seed in each block, no other row is nearer to that seed than to its own, and no other seed is
+    near. With ``centroids``, for clusters that need not be so tight, Lloyd steps follow and centroids are joined.
     """
     vectors = cut(vectors)
     n = vectors.count()
@@ -353,13 +368,15 @@ def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM)
     def fine(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
         x, ids = matrix(group.column("vec"), dim), group.column("id").to_pandas()
-        label = _fine_clusters(ids, x, cosine)
+        seeds = _leaders(ids, x, cosine)
+        label = _fine_clusters(x, seeds, cosine) if centroids else _nearest(x, x[seeds])[0]
         first = pd.Series(np.arange(len(x))).groupby(label).min()
         part = ids.to_numpy()[first.loc[label].to_numpy()]
         sums = np.zeros((len(x), dim))
         np.add.at(sums, label, x)
         used, count = np.unique(label, return_counts=True)
-        ends = pa.table({"id": pa.nulls(len(used), pa.string()), "vec": vector_column(sums[used]), "part": pa.array(ids.to_numpy()[first.loc[used].to_numpy()], pa.string()), "n": pa.array(count), "lead": vector_column(_unit(sums[used]))})
+        lead = _unit(sums[used]) if centroids else x[seeds[used]]
+        ends = pa.table({"id": pa.nulls(len(used), pa.string()), "vec": vector_column(sums[used]), "part": pa.array(ids.to_numpy()[first.loc[used].to_numpy()], pa.string()), "n": pa.array(count), "lead": vector_column(lead)})
         rows = pa.table({"id": group.column("id"), "vec": vector_column(x), "part": pa.array(part, pa.string()), "n": pa.nulls(len(x), pa.int64()), "lead": pa.nulls(len(x), pa.list_(pa.float32()))})
         return pa.concat_tables([rows, ends])
 

@@ -57,3 +57,23 @@ def test_parts_meet_however_far_their_cells_are(spark, monkeypatch):
     monkeypatch.setattr(C, "kmeans", lambda vectors, k, dim: (cells.astype(np.float32), np.full(6, 5.0)))
     rows = [(f"r{k}", (ends[k // 5] + 1e-3 * axis[10 + k]).tolist()) for k in range(10)]
     assert found(spark.createDataFrame(rows, "id string, embedding array<float>")) == {("r0", f"r{k}") for k in range(10)}
+
+
+def spokes(centre, cosine, n, axes):
+    """Rows of this cosine with each other, around ``centre``, each with its own axis."""
+    return [np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * np.eye(64)[a] for a in list(axes)[:n]]
+
+
+def test_clusters_nearer_than_their_centroids_stay_apart(spark):
+    axis = np.eye(64)
+    across = 0.875  # 0.80 inside and 0.70 across
+    two = spokes(axis[0], 0.8, 5, range(10, 20)) + spokes(across * axis[0] + np.sqrt(1 - across**2) * axis[1], 0.8, 5, range(20, 30))
+    six = spokes(axis[2], 0.8, 5, range(30, 40))
+    rest = sum(six) * 0.72 / (six[0] @ sum(six))  # 0.72 to every member
+    six.append(rest + np.sqrt(1 - rest @ rest) * axis[40])
+    x = np.array(two + six)
+    s = x @ x.T
+    assert s[0, 1] > 0.78 and 0.69 < s[0, 5] < 0.71 and np.allclose(s[15, 10:15], 0.72)
+    rows = [(f"r{k:02d}", v.tolist()) for k, v in enumerate(x)]
+    want = {(f"r{k // 5 * 5:02d}", f"r{k:02d}") for k in range(15)}
+    assert found(spark.createDataFrame(rows, "id string, embedding array<float>")) == want

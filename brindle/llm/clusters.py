@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,9 +266,8 @@ def _fine_clusters(x: np.ndarray, seeds: np.ndarray, cosine: float) -> np.ndarra
     return link(centres, cosine)[near]
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of all pairs of a row of ``x`` and one of ``y`` of at least this cosine; in tiles, those at the edge decided in double precision."""
-    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _near_tiles(x: np.ndarray, y: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of all pairs of a row of ``x`` and one of ``y`` of at least this cosine, by tiles; those at the edge are decided in double precision."""
     for a in range(0, len(x), 2048):
         for b in range(0, len(y), 2048):
             s = x[a : a + 2048] @ y[b : b + 2048].T
@@ -275,9 +275,13 @@ def near_pairs(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray,
             edge = np.flatnonzero(s[i, j] < cosine + 1e-5)
             exact = np.einsum("ij,ij->i", x[a + i[edge]].astype(np.float64), y[b + j[edge]].astype(np.float64))
             far = edge[exact < cosine]
-            rows.append(np.delete(i, far) + a)
-            columns.append(np.delete(j, far) + b)
-    return np.concatenate(rows), np.concatenate(columns)
+            yield np.delete(i, far) + a, np.delete(j, far) + b
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of all pairs of a row of ``x`` and one of ``y`` of at least this cosine."""
+    tiles = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_near_tiles(x, y, cosine)]
+    return np.concatenate([t[0] for t in tiles]), np.concatenate([t[1] for t in tiles])
 
 
 def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -342,6 +346,8 @@ def _stitch(parts: DataFrame, cosine: float, dim: int) -> DataFrame:
 def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM, centroids: bool = False) -> DataFrame:
     """``(id, cluster, similarity, part, size)``: each row's cluster, its cosine with the centroid, and the cluster's size.
 
+    ``cluster`` is the smallest id in it; the row of that id has the ``centroid``.
+
     Coarse cells come from k-means over all rows (about ``CELL_ROWS`` rows a cell). A cell's rows are
     spread over blocks of about ``BLOCK_ROWS`` by a hash of the id, so a cluster that holds
     a third of all rows is worked on by many tasks; each block finds its parts by
@@ -355,7 +361,7 @@ def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM,
     vectors = cut(vectors)
     n = vectors.count()
     if n == 0:
-        return vectors.selectExpr("id", "id AS cluster", "id AS part", "1L AS size", "vec", "1D AS similarity")
+        return vectors.selectExpr("id", "id AS cluster", "id AS part", "1L AS size", "vec", "1D AS similarity", "vec AS centroid")
     centres, sizes = kmeans(vectors, max(1, math.ceil(n / CELL_ROWS)), dim)
     blocks = np.maximum(1, np.ceil(sizes / BLOCK_ROWS)).astype(np.int64)
 
@@ -391,21 +397,73 @@ def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM,
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, c = matrix(batch.column("vec"), dim), _unit(matrix(batch.column("centroid"), dim))
+            first = batch.column("id").to_numpy(zero_copy_only=False) == batch.column("cluster").to_numpy(zero_copy_only=False)
+            once = vector_column(c).take(pa.array(np.arange(len(c)), mask=~first))
             out = [batch.column(k) for k in ("id", "cluster", "part", "size")]
-            yield pa.RecordBatch.from_arrays([*out, batch.column("vec"), pa.array(np.einsum("ij,ij->i", x, c).astype(np.float64))], names=["id", "cluster", "part", "size", "vec", "similarity"])
+            yield pa.RecordBatch.from_arrays([*out, batch.column("vec"), pa.array(np.einsum("ij,ij->i", x, c).astype(np.float64)), once], names=["id", "cluster", "part", "size", "vec", "similarity", "centroid"])
 
     joined = rows.join(described, "part").select("id", "vec", "part", "cluster", "size", "centroid")
-    return joined.mapInArrow(compare, "id string, cluster string, part string, size long, vec array<float>, similarity double")
+    return joined.mapInArrow(compare, "id string, cluster string, part string, size long, vec array<float>, similarity double, centroid array<float>")
+
+
+def _touched(rows: DataFrame, large: DataFrame, candidates: DataFrame, cosine: float, dim: int) -> DataFrame:
+    """``(cluster)`` of the candidates that any other row has this cosine with a member of.
+
+    By the triangle inequality such a row's angle to the centroid is at most the allowed one plus the cluster's widest.
+    All rows are compared with all centroids, block against block; the rows within that angle are
+    compared with the members, again in blocks.
+    """
+    limit = math.acos(cosine)
+    balls = cut(large.where("id = cluster").join(candidates, "cluster").select("cluster", F.col("centroid").alias("vec"), F.cos(F.least(F.lit(math.pi), F.col("widest") + limit)).alias("reach")))
+    across, down = _blocks(rows.count()), max(1, math.ceil(balls.count() / PAIR_ROWS))
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        ball = pc.is_null(group.column("id"))
+        row, ball = group.filter(pc.invert(ball)), group.filter(ball)
+        x, c, reach = matrix(row.column("vec"), dim), matrix(ball.column("vec"), dim), ball.column("reach").to_numpy().astype(np.float32) - np.float32(1e-5)
+        own, cluster = row.column("cluster").to_numpy(), ball.column("cluster").to_numpy()
+        for a in range(0, len(x), 2048):
+            for b in range(0, len(c), 2048):
+                s = x[a : a + 2048] @ c[b : b + 2048].T
+                i, j = np.nonzero(s >= reach[b : b + 2048])
+                other = own[i + a] != cluster[j + b]
+                i, j = i[other], j[other]
+                for k in range(0, len(i), 100_000):
+                    r, q = i[k : k + 100_000], j[k : k + 100_000]
+                    angle = np.arccos(np.clip(s[r, q].astype(np.float64), -1, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(cluster[q + b], pa.string()), pa.array(row.column("id").to_numpy()[r + a], pa.string()), vector_column(x[r + a]), pa.array(angle)], names=["cluster", "id", "vec", "angle"])
+
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = rows.select("id", "cluster", "vec", F.lit(None).cast("double").alias("reach"), F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("low"), places(down).alias("high"))
+    sides = sides.unionByName(balls.select(F.lit(None).cast("string").alias("id"), "cluster", "vec", "reach", F.pmod(F.xxhash64("cluster"), F.lit(down)).cast("int").alias("high"), places(across).alias("low")))
+    asks = cut(sides.groupBy("low", "high").applyInArrow(suspects, "cluster string, id string, vec array<float>, angle double"))
+    asked = asks.groupBy("cluster").agg(F.count("*").alias("asks"), F.min("angle").alias("nearest"))
+    member = large.join(asked, "cluster").where(F.col("angle") >= F.col("nearest") - limit - 1e-4).select("cluster", "id", "vec", "size", "asks")
+    asking = asks.join(large.where("id = cluster").select("cluster", "size").join(asked, "cluster"), "cluster").select("cluster", "id", "vec", "size", "asks")
+    blocks = lambda n: F.ceil(F.col(n) / PAIR_ROWS)
+    place = lambda n: F.pmod(F.xxhash64("id"), blocks(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    met = asking.select("cluster", "vec", F.lit(True).alias("asks"), place("asks").alias("low"), each("size").alias("high"))
+    met = met.unionByName(member.select("cluster", "vec", F.lit(False).alias("asks"), place("size").alias("high"), each("asks").alias("low")))
+
+    def touch(group: pa.Table) -> pa.Table:
+        x, asks = matrix(group.column("vec"), dim), group.column("asks").to_numpy()
+        hit = any(len(i) for i, _ in _near_tiles(x[asks], x[~asks], cosine))
+        return pa.table({"cluster": pa.array([group.column("cluster")[0].as_py()] if hit else [], pa.string())})
+
+    return met.groupBy("cluster", "low", "high").applyInArrow(touch, "cluster string").distinct()
 
 
 def tight_clusters(members: DataFrame, cosine: float = COSINE, least: int = 5, dim: int = DIM) -> DataFrame:
-    """``(cluster_key, record_id)`` of the clusters whose members all have this cosine with each other.
+    """``(cluster_key, record_id)`` of the clusters whose members all have this cosine with each other and less with every other row.
 
     Two members whose angles to the centroid add up to no more than the allowed angle are near
     enough by the triangle inequality, so only the outer members (whose angle plus the cluster's largest exceeds it)
     are compared pairwise.
     """
-    large = cut(members.where(F.col("size") >= least).withColumn("angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "similarity")))))
+    rows = cut(members)
+    large = rows.where(F.col("size") >= least).withColumn("angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "similarity"))))
     spread = large.groupBy("cluster").agg(F.max("angle").alias("widest"), F.min("id").alias("cluster_key"))
     limit = math.acos(cosine)
     outer = large.join(spread, "cluster").where(F.col("angle") + F.col("widest") > limit - 1e-6).select("cluster", "vec")
@@ -416,7 +474,8 @@ def tight_clusters(members: DataFrame, cosine: float = COSINE, least: int = 5, d
         return pa.table({"cluster": pa.array([group.column("cluster")[0].as_py()] if bad else [], pa.string())})
 
     bad = outer.groupBy("cluster").applyInArrow(loose, "cluster string")
-    good = spread.join(bad, "cluster", "left_anti")
+    whole = cut(spread.join(bad, "cluster", "left_anti"))
+    good = whole.join(_touched(rows, large, whole, cosine, dim), "cluster", "left_anti")
     return large.join(good, "cluster").select("cluster_key", F.col("id").alias("record_id"))
 
 

@@ -77,3 +77,16 @@ def test_clusters_nearer_than_their_centroids_stay_apart(spark):
     rows = [(f"r{k:02d}", v.tolist()) for k, v in enumerate(x)]
     want = {(f"r{k // 5 * 5:02d}", f"r{k:02d}") for k in range(15)}
     assert found(spark.createDataFrame(rows, "id string, embedding array<float>")) == want
+
+
+def test_an_outsider_near_one_member_undoes_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAIR_ROWS", 3)
+    axis = np.eye(64)
+    rows = []
+    for g, near in enumerate((0.79, 0.77)):
+        five = np.array(spokes(axis[g], 0.85, 5, range(10 + 10 * g, 20 + 10 * g)))
+        beside = np.linalg.pinv(five) @ np.array([near] + [0.6] * 4)  # that cosine to one member, 0.60 to the others
+        outsider = beside + np.sqrt(1 - beside @ beside) * axis[40 + g]
+        assert np.allclose(five @ outsider, [near] + [0.6] * 4)
+        rows += [(f"g{g}-{k}", v.tolist()) for k, v in enumerate([*five, outsider])]
+    assert found(spark.createDataFrame(rows, "id string, embedding array<float>")) == {("g1-0", f"g1-{k}") for k in range(5)}

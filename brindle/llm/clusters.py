@@ -284,6 +284,19 @@ def near_pairs(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray,
     return np.concatenate([t[0] for t in tiles]), np.concatenate([t[1] for t in tiles])
 
 
+def all_near(x: np.ndarray, y: np.ndarray, cosine: float) -> bool:
+    """Whether every row of ``x`` has at least this cosine with every row of ``y``."""
+    for a in range(0, len(x), 2048):
+        for b in range(0, len(y), 2048):
+            s = x[a : a + 2048] @ y[b : b + 2048].T
+            if s.min() < cosine - 1e-5:
+                return False
+            i, j = np.nonzero(s < cosine + 1e-5)
+            if (np.einsum("ij,ij->i", x[a + i].astype(np.float64), y[b + j].astype(np.float64)) < cosine).any():
+                return False
+    return True
+
+
 def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index of each node's component."""
     label = np.arange(n)
@@ -455,25 +468,34 @@ def _touched(rows: DataFrame, large: DataFrame, candidates: DataFrame, cosine: f
     return met.groupBy("cluster", "low", "high").applyInArrow(touch, "cluster string").distinct()
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """``(cluster, id, vec, own, low, high)``: the rows of a cluster in blocks of about ``PAIR_ROWS`` by a hash of the id, each row once in every pair of its block with one of the cluster's."""
+    blocks = F.ceil(F.col("size") / PAIR_ROWS)
+    dealt = rows.select("cluster", "id", "vec", F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    return dealt.select("cluster", "id", "vec", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
 def tight_clusters(members: DataFrame, cosine: float = COSINE, least: int = 5, dim: int = DIM) -> DataFrame:
     """``(cluster_key, record_id)`` of the clusters whose members all have this cosine with each other and less with every other row.
 
     Two members whose angles to the centroid add up to no more than the allowed angle are near
     enough by the triangle inequality, so only the outer members (whose angle plus the cluster's largest exceeds it)
-    are compared pairwise.
+    are compared pairwise, each pair of blocks as one group. Members that all have the cosine with each other have it with the
+    centroid, so a cluster with one that has not is dropped before.
     """
     rows = cut(members)
     large = rows.where(F.col("size") >= least).withColumn("angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "similarity"))))
-    spread = large.groupBy("cluster").agg(F.max("angle").alias("widest"), F.min("id").alias("cluster_key"))
+    spread = large.groupBy("cluster").agg(F.max("angle").alias("widest"), F.min("id").alias("cluster_key")).where(F.col("widest") <= math.acos(cosine) + 1e-3)
     limit = math.acos(cosine)
-    outer = large.join(spread, "cluster").where(F.col("angle") + F.col("widest") > limit - 1e-6).select("cluster", "vec")
+    outer = large.join(spread, "cluster").where(F.col("angle") + F.col("widest") > limit - 1e-6).select("cluster", "id", "vec", "size")
 
     def loose(group: pa.Table) -> pa.Table:
-        x = matrix(group.column("vec"), dim).astype(np.float64)
-        bad = any((x[a : a + 1024] @ x.T).min() < cosine for a in range(0, len(x), 1024))
+        x, own = matrix(group.column("vec"), dim), group.column("own").to_numpy()
+        x, y = x[own == group.column("low")[0].as_py()], x[own == group.column("high")[0].as_py()]
+        bad = not all_near(x, y, cosine)
         return pa.table({"cluster": pa.array([group.column("cluster")[0].as_py()] if bad else [], pa.string())})
 
-    bad = outer.groupBy("cluster").applyInArrow(loose, "cluster string")
+    bad = _block_pairs(outer).groupBy("cluster", "low", "high").applyInArrow(loose, "cluster string").distinct()
     whole = cut(spread.join(bad, "cluster", "left_anti"))
     good = whole.join(_touched(rows, large, whole, cosine, dim), "cluster", "left_anti")
     return large.join(good, "cluster").select("cluster_key", F.col("id").alias("record_id"))

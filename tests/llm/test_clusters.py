@@ -90,3 +90,17 @@ def test_an_outsider_near_one_member_undoes_the_cluster(spark, monkeypatch):
         assert np.allclose(five @ outsider, [near] + [0.6] * 4)
         rows += [(f"g{g}-{k}", v.tolist()) for k, v in enumerate([*five, outsider])]
     assert found(spark.createDataFrame(rows, "id string, embedding array<float>")) == {("g1-0", f"g1-{k}") for k in range(5)}
+
+
+def test_outer_members_are_compared_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAIR_ROWS", 5)
+    axis = np.eye(64)
+    wide = spokes(axis[0], 0.8, 30, range(10, 40))  # all are outer
+    loose = spokes(axis[1], 0.8, 30, range(10, 40))
+    loose[29] = loose[29] * 0.77 + np.sqrt(1 - 0.77**2) * axis[50]  # under 0.78 with some member
+    rows = [(f"{g}{k:02d}", v.tolist()) for g, x in (("a", wide), ("b", loose)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    assert {r for r in found(df) if r[0] == "a00"} == {("a00", f"a{k:02d}") for k in range(30)}
+    outer = df.selectExpr("'a' AS cluster", "id", "embedding AS vec", "30L AS size").where("id < 'b'")
+    met = [r["ids"] for r in C._block_pairs(outer).groupBy("low", "high").agg(C.F.collect_list("id").alias("ids")).collect()]
+    assert max(map(len, met)) < 25 and {(i, j) for ids in met for i in ids for j in ids} == {(i[0], j[0]) for i in rows[:30] for j in rows[:30]}

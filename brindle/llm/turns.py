@@ -91,8 +91,8 @@ def precedence_order(rows: list[tuple]) -> list[int]:
 
     Each constraint is an edge from an earlier to a later utterance: first those of the
     timing (offset, or the written time where there is none), then those of written times
-    among utterances with equal timing. An edge against one already kept conflicts and is
-    dropped, so timing wins over a cue. The graph is then ordered topologically; among free
+    among utterances with equal timing, so no two edges conflict and timing wins over a cue;
+    a written time that contradicts an offset and the order of dialogue give no edge. The graph is then ordered topologically; among free
     utterances the one of the smaller id comes first. Utterances without any time come last.
     """
     n = len(rows)

@@ -49,15 +49,23 @@ def texts():
     }
 
 
+SMALL_RANGES = {"limit": 120, "overlap": 20, "range_chars": 2000, "halo_chars": 200, "segment_tokens": 1}
+
+
+def split(spark, rows, **options):
+    return P.split_oversized(spark.createDataFrame(rows, "doc_id bigint, text string, piece_no int"), **SMALL_RANGES | options).toPandas().sort_values(["doc_id", "piece_no"])
+
+
 def test_pieces_cover_and_overlap(spark):
     source = texts()
     rows = [(k, t, 1) for k, t in source.items()] + [(10, None, 1), (11, "", 1), (None, source[1], 1), (1, source[1], 2)]
-    got = P.split_oversized(spark.createDataFrame(rows, "doc_id bigint, text string, piece_no int"), limit=120, overlap=20, range_chars=2000, halo_chars=200, segment_ranges=3, giant_ranges=4).toPandas().sort_values(["doc_id", "piece_no"])
+    got = split(spark, rows, giant_ranges=4)
     assert set(got.doc_id) == {k for k, t in source.items() if count(t) > 120}
     for doc, part in got.groupby("doc_id"):
         text, end = source[doc], 0
+        assert part.piece_no.tolist() == list(range(1, len(part) + 1))
         for a, b, piece, tokens in zip(part.start_char, part.end_char, part.text, part.tokens):
-            assert text[a:b] == piece and a <= end < b and tokens == count(piece) <= 124, (doc, a, b, end, tokens)
+            assert text[a:b] == piece and a <= end < b and tokens == count(piece) <= 120, (doc, a, b, end, tokens)
             if end:
                 assert count(text[a:end]) >= 17, (doc, a, end)
             end = b
@@ -65,3 +73,26 @@ def test_pieces_cover_and_overlap(spark):
     prose = got[got.doc_id == 1]
     assert (prose.cut_level >= P.SENTENCE).mean() > 0.95
     assert P.split_oversized(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_giant_texts_have_the_same_pieces(spark):
+    """However many ranges and segments a text is dealt into; levels and lengths as if it were read in one go."""
+    source = {k: t * (1 + 90_000 // len(t)) for k, t in texts().items() if k != 5}
+    rows = [(k, t, 1) for k, t in source.items()]
+    whole, dealt = split(spark, rows), split(spark, rows, giant_ranges=1)
+    assert whole.values.tolist() == dealt.values.tolist()
+    assert whole[whole.doc_id == 1].tokens.sum() > 3 * (4 * 2200 + 121)  # over two segments
+    inner = whole[whole.piece_no < whole.groupby("doc_id").piece_no.transform("max")]
+    for doc, end, level in zip(inner.doc_id, inner.end_char, inner.cut_level):
+        behind, after = source[doc][:end], source[doc][end:]
+        if level == P.PARAGRAPH:
+            blank = behind[len(behind.rstrip()) :] + after[: len(after) - len(after.lstrip())]
+            assert blank.count("\n") >= 2, (doc, end)
+        elif level >= P.WORD:
+            assert behind[-1].isspace() or after[0].isspace() or behind.rstrip()[-1] in "。！？．", (doc, end, level)
+
+
+def test_repeated_ids_count_their_largest_text(spark):
+    got = split(spark, [(1, "word " * 200, 1), (1, "zebra " * 200, 2), (2, "one " * 200, 1)])
+    assert set(got[got.doc_id == 1].text.str[:5]) == {"zebra"} or got[got.doc_id == 1].text.str.contains("word").sum() == 0
+    assert (got[got.doc_id == 2].tokens <= 120).all()

@@ -35,7 +35,7 @@ def p5_text_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    leaks = leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    leaks = leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"), passages_only=True)
     return leaks.where("contained").select("doc_id", "item_id")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.pii_model import ADDRESS_FORMS, DIGITS, EMAILS, FIGURES, FIRST, LAST, NAMES, PLACES, STREETS, TITLES, Scorer, decode, train
+from brindle.llm.pii_model import ADDRESS_FORMS, DIGITS, EMAILS, FIGURES, FIRST, LAST, LEAST_DIGITS, NAMES, PLACES, SPELLED, STREETS, TITLES, Scorer, decode, spelled_length, train
 from brindle.llm.pii_samples import labelled_sample
 from brindle.llm.speech import name_words
-from brindle.sources.tables import spread
+from brindle.sources.tables import cut, spread
 
-SAMPLE_ROWS = 4000
-FILTER_BITS = 22
+SAMPLE_ROWS = 6000
+FILTER_BITS_EACH, FILTER_BITS_LEAST = 64, 1 << 22
 MEMO_ROWS = 200_000
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 
@@ -30,26 +30,27 @@ def model(rows: int = SAMPLE_ROWS) -> dict[str, float]:
     return train(sample, sampler.kind_of)
 
 
-def _places(word: str) -> tuple[int, int, int]:
-    data = word.encode()
-    return tuple(zlib.crc32(data, seed) & ((1 << FILTER_BITS) - 1) for seed in (1, 77, 1234567))
+def _places(word: str, bits: int) -> tuple[int, int, int]:
+    """Three places of a word in a filter of ``bits`` (a power of two)."""
+    h = hashlib.blake2b(word.encode(), digest_size=15).digest()
+    return tuple(int.from_bytes(h[k : k + 5], "little") & (bits - 1) for k in (0, 5, 10))
 
 
 class Lexicon:
-    """Which words are known from people's names, as first or last name, in two Bloom filters of fixed size."""
+    """Which words are known from people's names, as first or last name, in two Bloom filters of ``bits`` each."""
 
-    def __init__(self, first: np.ndarray, last: np.ndarray) -> None:
-        self.filters = []
+    def __init__(self, first: np.ndarray, last: np.ndarray, bits: int) -> None:
+        self.filters, self.bits = [], bits
         for at in (first, last):
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[at] = True
-            self.filters.append(np.packbits(bits))
+            known = np.zeros(bits, bool)
+            known[at] = True
+            self.filters.append(np.packbits(known))
         self.memo: dict[str, int] = {}
 
     def kind_of(self, word: str) -> int:
         kind = self.memo.get(word)
         if kind is None:
-            places = _places(word)
+            places = _places(word, self.bits)
             kind = sum(flag for flag, bits in zip((FIRST, LAST), self.filters) if all(bits[p >> 3] >> (7 - (p & 7)) & 1 for p in places))
             if len(self.memo) > 500_000:
                 self.memo.clear()
@@ -57,14 +58,14 @@ class Lexicon:
         return kind
 
     def __getstate__(self) -> dict:
-        return {"filters": self.filters, "memo": {}}
+        return {"filters": self.filters, "bits": self.bits, "memo": {}}
 
 
 def name_lexicon(transcript: DataFrame, recording: DataFrame) -> Lexicon:
     """The words of all people's names in the structured columns.
 
-    Every distinct word is hashed in the tasks; the driver gets distinct places of the two filters,
-    at most 2^22 small numbers each however many names there are.
+    The distinct words are counted first, and the filters get at least ``FILTER_BITS_EACH`` bits a word, so that however many names
+    there are, about one other word in 10,000 is taken for a name. The driver gets the filters' distinct places.
     """
     listed = recording.select(F.explode("attributes.participants").alias("p")).select(
         F.explode(F.array(F.struct(F.lit(False).alias("is_first"), F.col("p.displayName").alias("name")), F.struct(F.lit(True).alias("is_first"), F.col("p.firstName").alias("name")))).alias("n")
@@ -72,9 +73,9 @@ def name_lexicon(transcript: DataFrame, recording: DataFrame) -> Lexicon:
     heard = transcript.select(F.lit(False).alias("is_first"), F.col("speaker.displayName").alias("name"))
     names = listed.unionByName(heard).where("name IS NOT NULL").distinct()
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple[int, int]] = set()
+            out: set[tuple[int, str]] = set()
             for is_first, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = name_words(name)
                 if is_first:
@@ -83,14 +84,20 @@ def name_lexicon(transcript: DataFrame, recording: DataFrame) -> Lexicon:
                     continue  # one word alone may be either
                 elif len(words[0]) > 1 and name.split()[0].isupper() and not name.isupper():
                     words = words[::-1]
-                for k, w in enumerate(words):
-                    if len(w) > 1:
-                        out.update((FIRST if k == 0 else LAST, p) for p in _places(w))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.int32())], names=["kind", "place"])
+                out.update((FIRST if k == 0 else LAST, w) for k, w in enumerate(words) if len(w) > 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([w for _, w in out], pa.string())], names=["kind", "word"])
+
+    words = cut(names.mapInArrow(words_of, "kind int, word string").distinct())
+    bits = max(FILTER_BITS_LEAST, 1 << (words.count() * FILTER_BITS_EACH - 1).bit_length())
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [_places(w, bits) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(at)), 3))), pa.array([p for t in at for p in t], pa.int64())], names=["kind", "place"])
 
-    found = names.mapInArrow(places, "kind int, place int").distinct().toArrow()
+    found = words.mapInArrow(places, "kind int, place long").distinct().toArrow()
     kind, place = found.column("kind").to_numpy(), found.column("place").to_numpy()
-    return Lexicon(place[kind == FIRST], place[kind == LAST])
+    return Lexicon(place[kind == FIRST], place[kind == LAST], bits)
 
 
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
@@ -140,7 +147,7 @@ class Finder:
         out = NAMES if cue & NAME_WORD or _INITIAL.search(text) else 0
         if "@" in text or " dot " in text or "[at]" in text or "(at)" in text:
             out |= EMAILS
-        if _RUN.search(text) or cue & DIGIT_WORD and sum([known(w, 0) & DIGIT_WORD for w in words]) > 4 * DIGIT_WORD:
+        if _RUN.search(text) or cue & DIGIT_WORD and sum([known(w, 0) & DIGIT_WORD for w in words]) > DIGIT_WORD and any(spelled_length(m[0]) >= LEAST_DIGITS for m in SPELLED.finditer(text)):
             out |= FIGURES
         if cue & STREET_WORD and any(p.search(text) for p in ADDRESS_FORMS):
             out |= PLACES

@@ -13,7 +13,8 @@ import numpy as np
 NAME, EMAIL, PHONE, ID, ADDRESS = "name", "email", "phone", "id_number", "address"
 TYPES = (NAME, EMAIL, PHONE, ID, ADDRESS)
 FIRST, LAST = 1, 2
-MOST_CHARS = 120
+LEAST_DIGITS = 6
+NAME_WORDS = 8
 
 # Words for digits and numbers, kinds of streets and units, as people write them.
 DIGITS = "zero oh nought one two three four five six seven eight nine double triple"
@@ -29,7 +30,7 @@ _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?)"
 _EMAIL = re.compile(rf"{_ATOM}(?:{_DOT}{_ATOM})*\s?(?:@|[\[(]at[\])])\s?[\w-]+(?:{_DOT}[\w-]+)+")
 _SPOKEN_EMAIL = re.compile(r"\w+(?: (?:dot|underscore|dash|hyphen|plus) \w+)* at \w+(?: (?:dash|hyphen) \w+)*(?: dot \w+)+")
 _NUMERIC = re.compile(r"(?<![\w@.,:/-])(?:[A-Z]{1,3}-?(?=\d)|\+(?=\d))?\(?\d+\)?(?:(?:[./-]| (?=[\d(]))\(?\d+\)?)*(?:-?[A-Z]\b| [A-Z]\b)?(?![\w-])")
-_SPELLED = re.compile(rf"\b(?:{'|'.join(DIGITS.split())})(?:,?[ -](?:{'|'.join(DIGITS.split())}))+\b", re.I)
+SPELLED = re.compile(rf"\b(?:{'|'.join(DIGITS.split())})(?:,?[ -](?:{'|'.join(DIGITS.split())}))+\b", re.I)
 _COUNT = rf"(?:(?:{'|'.join(NUMBERS.split())})(?:[ -](?:{'|'.join(NUMBERS.split())})){{0,3}})"
 _UNIT = rf"(?:(?:{'|'.join(UNITS.split())})\.?\s\d*[a-z]?\d*)"
 _KIND = rf"(?:(?:{'|'.join(sorted(STREETS.split(), key=len, reverse=True))})\b\.?)"
@@ -43,7 +44,7 @@ ADDRESS_FORMS = [
 ]
 _TAIL_END = re.compile(rf"{_TAIL}$", re.I)
 _TOKEN = re.compile(rf"{_W}|\d+|[^\w\s]|_")
-_NOISE = re.compile(r"\[[^\]]{0,30}\]|\(\(?[a-z ]{2,30}\)\)?|<[a-z /]{2,30}>|\{[^}]{0,30}\}|\*[a-z ]+\*|--\s[a-z ]+\s--|♪")
+_NOISE = re.compile(r"\[[^\]]{0,30}\]|\(\(?[a-z ]{2,30}\)\)?|<[a-z /]{2,30}>|\{[^}]{0,30}\}|\*[a-z ]+\*|--\s[a-z ]+\s--|♪|\.{2,}|…")
 
 _ASIDE = re.compile(r"\[\s?(?:[a-z]+(?: [\d:]+)?|[A-Z]{4,})\s?\]|\(\(?[a-z ]{3,30}\)\)?|<[a-z]+(?: [a-z]+)?/?>|\{[a-z ]+\}|\*[a-z]+\*|--\s[a-z ]+\s--|♪|\b(?:[Uu]+[hm]+|[Ee]r+m?|[Hh]mm+|[Aa]h+|like|[Yy]ou know|[Ss]ort of|I mean)\b(?:\.{3}|,)?")
 
@@ -51,9 +52,12 @@ Candidate = tuple[int, int, str, list[str]]
 
 
 @lru_cache(maxsize=200_000)
-def _shape(text: str) -> str:
-    """Digits as counts, capital letters as A: ``NX-583373/15`` gives ``AA-d6/d2``."""
-    return re.sub(r"[A-Z]", "A", re.sub(r"\d+", lambda m: f"d{len(m[0])}", text))
+def _shape(text: str) -> tuple[str, str, str]:
+    """Sizes of the groups of digits, the signs between them, and the capital letters at either end of a number."""
+    groups = re.findall(r"\d+", text)
+    signs = "".join(sorted(set(re.findall(r"[^\w]", text))))
+    letters = re.match(r"[A-Z]*", text)[0], re.search(r"[A-Z]*$", text)[0]
+    return ".".join(str(len(g)) for g in groups), signs or "none", f"{len(letters[0])} {len(letters[1])}"
 
 
 def _case(word: str) -> str:
@@ -66,7 +70,7 @@ def _context(text: str, start: int) -> list[str]:
     return [w for w in re.findall(r"[^\W\d_]+|[^\w\s]|\d+", left) if w not in FILLERS][-5:]
 
 
-def _spelled_length(text: str) -> int:
+def spelled_length(text: str) -> int:
     n, times = 0, 1
     for w in re.findall(r"[a-z]+", text.lower()):
         if w in ("double", "triple"):
@@ -77,7 +81,7 @@ def _spelled_length(text: str) -> int:
 
 
 def number_candidates(text: str) -> Iterable[Candidate]:
-    """Phone and identity numbers, in figures or spelled."""
+    """Phone and identity numbers of at least ``LEAST_DIGITS`` digits, in figures or spelled."""
     spans = []
     for m in _NUMERIC.finditer(text):
         a, b = m.span()
@@ -85,19 +89,19 @@ def number_candidates(text: str) -> Iterable[Candidate]:
             b -= 1
         if text[a] == "(" and ")" not in text[a:b]:
             a += 1
-        if sum(c.isdigit() for c in text[a:b]) >= 6:
+        if sum(c.isdigit() for c in text[a:b]) >= LEAST_DIGITS:
             spans.append((a, b, False))
-    spans += [(m.start(), m.end(), True) for m in _SPELLED.finditer(text)]
+    spans += [(m.start(), m.end(), True) for m in SPELLED.finditer(text) if spelled_length(m[0]) >= LEAST_DIGITS]
     for start, end, spelled in spans:
         words = _context(text, start)
         for a, b in {(start, end), *((start, end - k) for k in (2,) if text[end - 2 : end - 1] == " " and text[end - 1].isupper())}:
             body = text[a:b]
-            shape = f"spelled{_spelled_length(body)}" if spelled else _shape(body)
-            digits = _spelled_length(body) if spelled else sum(c.isdigit() for c in body)
+            digits = spelled_length(body) if spelled else sum(c.isdigit() for c in body)
+            sizes, signs, ends = ("", "spelled", "") if spelled else _shape(body)
             for kind in (PHONE, ID):
                 yield a, b, kind, [
-                    f"{kind}", f"{kind} shape {shape}", f"{kind} digits {min(digits, 16)}", f"{kind} start {body[0] if body[0] in '+(0' else 'A' if body[0].isalpha() else 'd'}",
-                    f"{kind} letters {any(c.isupper() for c in body)} {shape.count('d')}", *{f"{kind} near {w}" for w in words}, f"{kind} before {words[-1] if words else '^'}", f"{kind} next {text[b : b + 1] or '$'}",
+                    kind, f"{kind} digits {min(digits, 16)}", f"{kind} sizes {sizes}", f"{kind} signs {signs}", f"{kind} ends {ends}", f"{kind} ends {ends} {signs}", f"{kind} start {body[0] if body[0] in '+(0' else 'A' if body[0].isalpha() else 'd'}",
+                    *{f"{kind} near {w}" for w in words}, f"{kind} before {words[-1] if words else '^'}", f"{kind} next {text[b : b + 1] or '$'}",
                 ]
 
 
@@ -105,16 +109,13 @@ def email_candidates(text: str) -> Iterable[Candidate]:
     """E-mail addresses, written, masked or spoken."""
     for pattern, how in ((_EMAIL, "written"), (_SPOKEN_EMAIL, "spoken")):
         for m in pattern.finditer(text):
-            if len(m[0]) <= MOST_CHARS:
-                yield m.start(), m.end(), EMAIL, [EMAIL, f"email {how}", f"email marks {'@' in m[0]} {'at' in m[0]}", f"email near {(_context(text, m.start()) or ['^'])[-1]}"]
+            yield m.start(), m.end(), EMAIL, [EMAIL, f"email {how}", f"email marks {'@' in m[0]} {'at' in m[0]}", f"email near {(_context(text, m.start()) or ['^'])[-1]}"]
 
 
 def address_candidates(text: str) -> Iterable[Candidate]:
     """Street addresses, whole and without their tail, so that the model chooses where they end."""
     for k, pattern in enumerate(ADDRESS_FORMS):
         for m in pattern.finditer(text):
-            if len(m[0]) > MOST_CHARS:
-                continue
             tail = _TAIL_END.search(m[0])
             ends = {len(m[0]), tail.start() if tail and tail[0] else len(m[0])}
             for e in ends:
@@ -129,8 +130,16 @@ def address_candidates(text: str) -> Iterable[Candidate]:
                 ]
 
 
+def _brief(signs: list[str]) -> str:
+    """The signs of a name's words; those of three words and more without repeats, so that a long name looks like a short one."""
+    return "".join(signs) if len(signs) < 3 else "".join([a for a, b in zip(signs, ["", *signs]) if a != b])
+
+
 def name_spans(text: str, kind_of: Callable[[str], int]) -> Iterable[tuple[int, int, tuple]]:
-    """Segments of one to three words around a word known from names, or behind a title; each with what its features are made of."""
+    """Segments of one to ``NAME_WORDS`` words around a word known from names, or behind a title; each with what its features are made of.
+
+    A longer run of known words is several segments, so nothing of it is lost.
+    """
     spoken = _ASIDE.sub(lambda m: " " * len(m[0]), text)  # hesitations and sound notes are no context
     words: list[str] = []
     starts: list[int] = []
@@ -157,8 +166,10 @@ def name_spans(text: str, kind_of: Callable[[str], int]) -> Iterable[tuple[int,
             spans.append((i, i + 1, "W"))
         if full[i + 1] and starts[i + 1] - ends[i] == 1 and (flags[i] or flags[i + 1]):
             spans.append((i, i + 2, "WW"))
-            if full[i + 2] and flags[i + 2] and starts[i + 2] - ends[i + 1] == 1:
-                spans.append((i, i + 3, "WWW"))
+            for j in range(i + 2, min(i + NAME_WORDS, n)):
+                if not (full[j] and flags[j] and starts[j] - ends[j - 1] == 1):
+                    break
+                spans.append((i, j + 1, "WWW"))
         elif initial[i + 1] and flags[i] and starts[i + 1] - ends[i] == 1:
             spans.append((i, i + 2, "WI"))
             if i + 2 < n and words[i + 2] == "." and ends[i + 1] == starts[i + 2]:
@@ -174,7 +185,7 @@ def name_spans(text: str, kind_of: Callable[[str], int]) -> Iterable[tuple[int,
         glued = i > 0 and starts[i] == ends[i - 1] and words[i - 1][-1] in "_@.-"
         glued = glued or text[ends[j - 1] : ends[j - 1] + 1] in ("_", "@", "-") and ends[j - 1] < len(text) or text[ends[j - 1] : ends[j - 1] + 1] == "." and text[ends[j - 1] + 1 : ends[j - 1] + 2].isalnum()
         yield starts[i], ends[j - 1], (
-            form, "".join([str(flags[k]) for k in inner]), "".join([_case(words[k]) for k in inner]), words[i - 1].lower() if i else "^", words[i - 2].lower() if i > 1 else "^",
+            form, _brief([str(flags[k]) for k in inner]), _brief([_case(words[k]) for k in inner]), words[i - 1].lower() if i else "^", words[i - 2].lower() if i > 1 else "^",
             after.lower(), right_kind, i == 0 and (j == n or words[j:] == ["."]), glued,
         )
 
@@ -240,7 +251,8 @@ def decode(text: str, kind_of: Callable[[str], int], scorer: Scorer, reasons: in
     """The best set of segments that do not overlap: boundaries and types chosen together.
 
     Text outside any segment scores 0, so the dynamic program steps from candidate end to candidate
-    end, and a segment that scores less than nothing is in no best set; a segment has at most ``MOST_CHARS`` characters.
+    end, and a segment that scores less than nothing is in no best set. Segments are bounded by their kind's candidates
+    (a name by its words, the others by their pattern), not by a number of characters.
     """
     found = scorer.scored(text, kind_of, reasons)
     if len(found) < 2:

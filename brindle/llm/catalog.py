@@ -19,7 +19,8 @@ def p2_turns(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return p2_turns(spark, root).select("recording_id", "first_utterance_id", "utterance_count", "speaker_id")
+    turns = speaker_turns(table(spark, root, "transcript"), table(spark, root, "recording"), words=False)
+    return turns.select("recording_id", "first_utterance_id", "utterance_count", "speaker_id")
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

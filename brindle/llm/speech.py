@@ -28,7 +28,7 @@ _NOTE_FIRST = re.compile(rf"\s*(?:{_NOTE.pattern})\s*")
 _HESITATION_FIRST = re.compile(rf"\s*(?:{HESITATION.pattern})\s*", re.I)
 _INNER_TIME = re.compile(rf"[\[(<]\s*{_CLOCK}\s*[\])>]|@\d+m\d+s\b")
 _SIGNS = re.compile(r"[\[(<{*♪♫@]|--")
-_BLANKS, _LOOSE, _SAID = re.compile(r"\s+"), re.compile(r" ([,.;:?!])"), re.compile(r"[^\W_]")
+_LOOSE, _SAID = re.compile(r" ([,.;:?!])"), re.compile(r"[^\W_]")
 
 
 def milliseconds(match: re.Match) -> int:
@@ -50,13 +50,13 @@ def _named(label: str) -> bool:
     return (capital and len(words) <= 3 or len(words) == 2 and label == label.lower()) and not all(w.lower() in GENERIC for w in words)
 
 
-def read_utterance(text: str | None) -> tuple[int | None, str | None, str | None]:
+def read_utterance(text: str | None, words: bool = True) -> tuple[int | None, str | None, str | None]:
     """``(written time in ms, speaker label, spoken words)`` of one utterance.
 
     Times and one label are read at the start of the text, in any order, also behind
     notes and hesitations. The spoken words are what remains without times, label, sound
     notes and hesitation sounds; null if no letter or digit remains. Null text gives
-    three nulls.
+    three nulls. Without ``words`` the third is only a mark that some remain.
     """
     if text is None:
         return None, None, None
@@ -74,10 +74,12 @@ def read_utterance(text: str | None) -> tuple[int | None, str | None, str | None
             label, rest = m[m.lastindex], rest[m.end() :]
         else:
             break
-    spoken = HESITATION.sub(" ", rest)
+    if not words and rest[:1].isalnum():  # what stands first is no hesitation, note or time
+        return at, label, "?" if rest.rstrip().endswith("?") else "."
+    spoken = HESITATION.sub(" ", _NOTE.sub(" ", rest) if signs else rest)
     if signs:
-        spoken = _INNER_TIME.sub(" ", HESITATION.sub(" ", _NOTE.sub(" ", rest)))
-    spoken = _LOOSE.sub(r"\1", _BLANKS.sub(" ", spoken)).strip(" ,-–—")
+        spoken = _INNER_TIME.sub(" ", spoken)
+    spoken = _LOOSE.sub(r"\1", " ".join(spoken.split())).strip(" ,-–—")
     return at, label, spoken if _SAID.search(spoken) else None
 
 

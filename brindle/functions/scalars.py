@@ -63,7 +63,7 @@ def business_impact(tags: Column) -> Column:
 def suffixes(tags: Column, prefix: str) -> Column:
     """Distinct non-empty rests of the tags that start with ``prefix``, in order."""
     with_prefix = F.filter(tags, lambda t: t.startswith(prefix) & (F.length(t) > len(prefix)))
-    return F.array_distinct(F.transform(with_prefix, lambda t: F.substring(t, len(prefix) + 1, 10_000)))
+    return F.array_distinct(F.transform(with_prefix, lambda t: t.substr(F.lit(len(prefix) + 1), F.length(t))))
 
 
 def first_suffix(tags: Column, prefix: str) -> Column:
@@ -176,7 +176,9 @@ def change_text(key: Column, summary: Column, description: Column, workaround: C
     return F.coalesce(filled(parts), key)
 
 
-def call_header(title: Column, account: Column, day: Column, people: Column) -> Column:
-    """Four lines: title, account, date, participants with roles."""
+def call_header(recording: Column, title: Column, account: Column, day: Column, people: Column) -> Column:
+    """Four lines: title (``recording <id>`` for a blank one), account, date, participants with roles; ``unknown`` for what is missing."""
+    filled = lambda c, other: F.coalesce(F.when(F.length(strip(c)) > 0, c), other)
     names = F.array_join(F.transform(people, lambda p: F.concat(p["name"], F.lit(" ["), p["role"], F.lit("]"))), ", ")
-    return F.concat_ws("\n", title, F.concat(F.lit("account: "), account), F.concat(F.lit("date: "), day), F.concat(F.lit("participants: "), names))
+    lines = [F.concat(F.lit("account: "), account), F.concat(F.lit("date: "), filled(day, F.lit("unknown"))), F.concat(F.lit("participants: "), filled(names, F.lit("unknown")))]
+    return F.concat_ws("\n", filled(title, F.concat(F.lit("recording "), recording)), *lines)

@@ -2,28 +2,30 @@
 
 The plans follow one shape: score, keep the top k by ``TakeOrderedAndProject``, and only then
 join the columns to show. Corpus statistics of a query's few terms are one aggregate without a
-shuffle of tokens.
+shuffle of tokens, or come from an inverted index, of which a question reads only its own terms.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import QUERY_WORD, dot, index_tokens
 from brindle.functions.stemming import plain, stem, vocabulary
+from brindle.operators.index import VersionedIndex
 from brindle.sources.tables import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 MIN_SCORE = 0.35
 POOL_FACTOR, POOL_LEAST = 5, 50
-QUERY_BLOCK_FLOATS = 4_000_000
+ROW_BLOCK, QUERY_BLOCK, TILE = 65_536, 8_192, 2_048
 
 
 def parse_query(question: str) -> list[list[str]]:
@@ -94,14 +96,56 @@ def bm25_scores(docs: DataFrame, id_column: str, question: str, fields: tuple[st
     hits = counted.where(found)
     if allowed is not None:
         hits = hits.join(allowed.select(F.col(id_column).alias("id")), "id", "left_semi")
-    score = F.lit(0.0)
-    for i in range(n):
-        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        t = F.col(f"t{i}")
-        score = score - F.when(idf <= 0, 1e-6).otherwise(idf) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    score = functools.reduce(lambda a, b: a + b, [_bm25(F.col(f"n{i}"), F.col(f"t{i}"), F.col("dl"), F.col("n"), F.col("avgdl")) for i in range(n)], F.lit(0.0))
     return hits.crossJoin(F.broadcast(stats)).select("id", score.alias("bm25"))  # stats is one row
 
 
+def _bm25(count: Column, term: Column, length: Column, docs: Column, mean_length: Column) -> Column:
+    """What one phrase adds to a score (lower is better), from the documents that hold it, its occurrences and the lengths."""
+    idf = F.log((docs - count + 0.5) / (count + 0.5))
+    return -F.when(idf <= 0, 1e-6).otherwise(idf) * term * (K1 + 1) / (term + K1 * (1 - B + B * length / mean_length))
+
+
+def posting_scores(postings: DataFrame, doc_count: int, token_count: int, question: str, allowed: DataFrame | None = None, stemming: bool = True) -> DataFrame:
+    """``(id, bm25)`` as ``bm25_scores``, from an inverted index: only the postings of the question's stems are read.
+
+    ``doc_count`` and ``token_count`` are those of the whole index; ``allowed`` holds ids in a column ``id``.
+    """
+    phrases = parse_query(question)
+    words = list(dict.fromkeys(w for p in phrases for w in p))
+    if not words or not doc_count:
+        return postings.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    stems = {w: stem(plain(w)) for w in words}
+    is_word = {w: F.col("stem") == stems[w] if stemming else F.col("term") == w for w in words}
+    rows = postings.where(F.col("stem").isin(sorted(set(stems.values()))))
+    if not stemming:
+        rows = rows.where(F.col("term").isin(words))
+    at = {w: F.flatten(F.collect_list(F.when(is_word[w], F.col("positions")))) for w in words}  # the places in one field of one record
+    fields = rows.select("id", "field", "dl", "stem", "term", "positions").repartition("id").groupBy("id", "field").agg(F.first("dl").alias("dl"), *[c.alias(f"w{j}") for j, c in enumerate(at.values())])
+    column = {w: F.col(f"w{j}") for j, w in enumerate(words)}
+
+    def occurrences(phrase: list[str]) -> Column:
+        if len(phrase) == 1:
+            return F.size(column[phrase[0]])
+        following = lambda p: [F.array_contains(column[w], p + k) for k, w in enumerate(phrase[1:], 1)]
+        return F.size(F.filter(column[phrase[0]], lambda p: functools.reduce(lambda a, b: a & b, following(p))))
+
+    n = len(phrases)
+    counted = cut(fields.select("id", "dl", *[occurrences(p).alias(f"t{i}") for i, p in enumerate(phrases)]).groupBy("id").agg(F.first("dl").alias("dl"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(n)]))
+    stats = counted.agg(*[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(n)])
+    hits = counted.where(functools.reduce(lambda a, b: a | b, [F.col(f"t{i}") > 0 for i in range(n)]))
+    if allowed is not None:
+        hits = hits.join(allowed.select("id"), "id", "left_semi")
+    parts = [_bm25(F.col(f"n{i}"), F.col(f"t{i}"), F.col("dl"), F.lit(doc_count), F.lit(token_count / doc_count)) for i in range(n)]
+    return hits.crossJoin(F.broadcast(stats)).select("id", functools.reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("bm25"))  # stats is one row
+
+
+def index_scores(index: VersionedIndex, question: str, allowed: DataFrame | None = None, stemming: bool = True) -> DataFrame:
+    """``posting_scores`` of a published index."""
+    facts = index.manifest()
+    return posting_scores(index.read("postings"), facts["doc_count"], facts["token_count"], question, allowed, stemming)
+
+
 def top(scores: DataFrame, column: str, k: int, ascending: bool = False) -> DataFrame:
     """The k best rows, ties by id."""
     return scores.orderBy(F.col(column).asc() if ascending else F.col(column).desc(), "id").limit(k)
@@ -113,43 +157,44 @@ def vector_scores(vectors: DataFrame, id_column: str, vector_column: str, query:
     return vectors.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), dot(F.col(vector_column), q).alias("cosine"))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int, dim: int = 64) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int, dim: int = 64, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, id, cosine, rank)``: exact top k of every query against all rows.
 
-    The queries go to the tasks in blocks of bounded size; each task multiplies a block with its rows and
-    keeps k per query, so what is shuffled is k rows per task and query.
+    Rows and queries are dealt into blocks by a hash, and each pair of a row block and a query block is one group of bounded size
+    that keeps k rows per query; the best k of all blocks remain. Null vectors are left out, ties go to the smaller id.
     """
-    block = max(1, QUERY_BLOCK_FLOATS // dim)
-    found: DataFrame | None = None
-    rows = vectors.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).alias("vec"))
-    pending: list[tuple] = []
-
-    def part(batch_queries: list[tuple]) -> DataFrame:
-        ids = np.array([q for q, _ in batch_queries])
-        m = np.array([v for _, v in batch_queries], np.float64).reshape(len(ids), dim)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_score, best_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                for a in range(0, len(x), 2048):
-                    s = np.round(m @ x[a : a + 2048].T, 9)
-                    score = np.hstack([best_score, s])
-                    who = np.hstack([best_id, np.broadcast_to(batch.column(0).to_numpy()[a : a + 2048], s.shape)])
-                    order = np.lexsort((who, -score))[:, :k]
-                    best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
-            n = best_id.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], names=["query_id", "id", "cosine"])
-
-        return rows.mapInArrow(run, "query_id bigint, id bigint, cosine double")
-
-    for row in queries.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vec")).where("vec IS NOT NULL").toLocalIterator():
-        pending.append((row["id"], row["vec"]))
-        if len(pending) == block:
-            found = part(pending) if found is None else found.unionByName(part(pending))
-            pending = []
-    if pending or found is None:
-        found = part(pending) if found is None else found.unionByName(part(pending))
+    side = lambda df: df.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<float>").alias("vec"))
+    rows, asked = side(vectors), side(queries)
+    down, across = max(1, -(-rows.count() // row_block)), max(1, -(-asked.count() // query_block))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select("id", "vec", F.lit(False).alias("asks"), own(down).alias("low"), every(across).alias("high")).unionByName(asked.select("id", "vec", F.lit(True).alias("asks"), every(down).alias("low"), own(across).alias("high")))
+
+    def nearest(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asks = group.column("asks").to_numpy()
+        x = pc.list_flatten(group.column("vec")).to_numpy().astype(np.float64).reshape(-1, dim)
+        ids = group.column("id").to_numpy()
+        order = np.argsort(ids[~asks], kind="stable")
+        who, x, m, query = ids[~asks][order], x[~asks][order], x[asks], ids[asks]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(m) if len(x) else 0, TILE):
+            best_score, best_at = np.full((len(m[a : a + TILE]), 0), -np.inf), np.zeros((len(m[a : a + TILE]), 0), np.int64)
+            for b in range(0, len(x), TILE):
+                s = np.round(m[a : a + TILE] @ x[b : b + TILE].T, 9)
+                score, at = np.hstack([best_score, s]), np.hstack([best_at, np.broadcast_to(np.arange(b, b + s.shape[1]), s.shape)])
+                if score.shape[1] > k:  # only what reaches the k-th best, with its ties, is sorted; rows are in order of id, so ties go to the smaller one
+                    least = np.partition(score, -k, axis=1)[:, -k]
+                    first = np.stack([(f := np.flatnonzero(row >= t))[np.argsort(-row[f], kind="stable")[:k]] for row, t in zip(score, least)])
+                else:
+                    first = np.argsort(-score, axis=1, kind="stable")
+                best_score, best_at = np.take_along_axis(score, first, 1), np.take_along_axis(at, first, 1)
+            n = best_at.shape[1]
+            out.append((np.repeat(query[a : a + TILE], n), who[best_at.ravel()], best_score.ravel()))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "id", "cosine"), columns)))
+
+    found = dealt.groupBy("low", "high").applyInArrow(nearest, "query_id bigint, id bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

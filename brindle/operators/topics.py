@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from brindle.functions.scalars import snippet, topic_label
+from brindle.functions.scalars import SPACE, snippet, topic_label
+from brindle.sources.tables import cut
 
 OUTLIERS = -1
 KEYWORDS = 15
+LISTED_STOPWORDS = 100_000
 # Fixed value: conversational fillers and role names that carry no topic.
 FILLER_WORDS = """prospect user unknown external internal yeah okay ok uh um umm hmm mm ah oh yep nope like know just really
 actually basically kind sort going got gonna wanna kinda stuff thing things right sure maybe mean guess think say said saying
@@ -45,13 +47,35 @@ def parent_topics(assigned: DataFrame, records: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rank") == 1, F.col("share"))).alias("primary_share"),
         F.max("total").alias("chunk_count"),
         F.transform(ordered, lambda x: F.concat_ws(":", x["topic_id"].cast("string"), x["n"].cast("string"))).alias("secondary"),
+        F.transform(ordered, lambda x: x["share"]).alias("secondary_shares"),
     )
 
 
-def class_terms(texts: DataFrame, stopwords: list[str], bigrams: bool = True) -> DataFrame:
-    """``(topic_id, term, tf)`` of one- and two-word terms; pairs form after the stop words are gone."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{2,})(?![\p{L}\p{N}_])"), 1), lambda w: ~w.isin(stopwords))
-    tokens = texts.select("topic_id", F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+def speaker_words(names: DataFrame) -> DataFrame:
+    """``(word)``: the lower-case words of all names in a column ``name``, letters of any script only, and the runs of plain letters in them."""
+    lower = names.where("name IS NOT NULL").select(F.lower("name").alias("name")).distinct()
+    words = F.concat(F.transform(F.split("name", rf"{SPACE}+"), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), F.regexp_extract_all("name", F.lit("([a-z][a-z]+)"), 1))
+    return lower.select(F.explode(words).alias("word")).where("length(word) >= 2").distinct()
+
+
+def class_terms(texts: DataFrame, stopwords: list[str] | DataFrame, bigrams: bool = True) -> DataFrame:
+    """``(topic_id, term, tf)`` of one- and two-word terms; pairs form after the stop words are gone.
+
+    Stop words are a list, or a table with a column ``word`` of any size: one of more than ``LISTED_STOPWORDS`` words is
+    joined with the words of the texts, with the same result.
+    """
+    words = F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{2,})(?![\p{L}\p{N}_])"), 1), F.array().cast("array<string>"))
+    tokens = texts.select("topic_id", words.alias("w"))
+    if isinstance(stopwords, DataFrame):
+        distinct = cut(stopwords.select("word").where("word IS NOT NULL").distinct())
+        many = distinct.count() > LISTED_STOPWORDS
+        stopwords = [] if many else [r["word"] for r in distinct.collect()]
+        if many:
+            each = tokens.withColumn("row", F.monotonically_increasing_id()).select("topic_id", "row", F.posexplode("w").alias("at", "word"))
+            kept = each.join(distinct, "word", "left_anti").groupBy("topic_id", "row").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))  # the words of one text
+            tokens = kept.select("topic_id", F.transform("w", lambda x: x["word"]).alias("w"))
+    if stopwords:
+        tokens = tokens.withColumn("w", F.filter("w", lambda w: ~w.isin(stopwords)))
     if bigrams:
         # zip_with pads the shorter side with null, and concat with null is null
         pairs = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -59,13 +83,13 @@ def class_terms(texts: DataFrame, stopwords: list[str], bigrams: bool = True) ->
     return tokens.select("topic_id", F.explode("w").alias("term")).groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
 
 
-def class_keywords(texts: DataFrame, stopwords: list[str], keep: int = KEYWORDS, least: int = 2) -> DataFrame:
+def class_keywords(texts: DataFrame, stopwords: list[str] | DataFrame, keep: int = KEYWORDS, least: int = 2) -> DataFrame:
     """``(topic_id, rank, term, weight)``: class-based TF-IDF with the square root of the term's share in the class.
 
     weight = sqrt(tf / tokens of the class) * ln(1 + A / f), A the mean number of tokens per class and f the
     term's number over all classes; terms in fewer than ``least`` classes are dropped.
     """
-    terms = class_terms(texts, stopwords)
+    terms = cut(class_terms(texts, stopwords))  # one row per topic and term, read four times
     overall = terms.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("classes")).where(F.col("classes") >= least).drop("classes")
     kept = terms.join(overall, "term")
     totals = kept.groupBy("topic_id").agg(F.sum("tf").alias("total"))
@@ -101,11 +125,11 @@ def top_parents(parents: DataFrame, records: DataFrame, n: int = 10) -> DataFram
 
 def hash_sample(df: DataFrame, key: str, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each key, the same in every run: the first by a hash of their id."""
-    return top_n(df, key, n, [F.xxhash64(F.col(id_column), F.lit(seed)), F.col(id_column)])
+    return top_n(df, key, n, [F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(str(seed)))), F.col(id_column)])
 
 
 def catalog_lines(topics: DataFrame, reps: DataFrame, records: DataFrame, best: DataFrame) -> DataFrame:
-    """``(line_no, line)`` of a readable Markdown catalog of all topics, largest first."""
+    """``(topic_id, order, part, place, line)`` of a readable Markdown catalog of all topics, largest first."""
     named = topics.select("topic_id", "label", "size", F.coalesce(F.from_json("keywords_json", "array<string>"), F.array().cast("array<string>")).alias("k"))
     order = F.struct((-F.coalesce("size", F.lit(0))).alias("s"), F.col("topic_id").alias("t"))
     text = records.groupBy(F.col("id").alias("record_id")).agg(F.min("text").alias("text"))
@@ -119,18 +143,44 @@ def catalog_lines(topics: DataFrame, reps: DataFrame, records: DataFrame, best:
     calls = best.join(named.select("topic_id", order.alias("o")), "topic_id").select(
         "o", F.lit(3).alias("part"), F.col("rank").alias("n"), F.concat(F.lit("- "), F.col("parent_id"), F.lit(": "), F.coalesce("title", F.lit("")), F.lit(" ("), F.col("chunk_count").cast("string"), F.lit(" chunks)")).alias("line")
     )
-    return heads.unionByName(quotes).unionByName(calls).orderBy("o", "part", "n").select(F.col("o.t").alias("topic_id"), "part", F.col("n").alias("place"), "line")
+    return heads.unionByName(quotes).unionByName(calls).orderBy("o", "part", "n").select(F.col("o.t").alias("topic_id"), F.col("o").alias("order"), "part", F.col("n").alias("place"), "line")
+
+
+def catalog_order() -> WindowSpec:
+    """The order of the lines of a catalog: topics from the largest, each with its parts."""
+    return Window.orderBy(F.col("order"), F.col("part"), F.col("place"))
+
+
+def catalog_head(topics: DataFrame) -> DataFrame:
+    """``(n, line)``: title, figures, and a table of all topics from the largest, with links to their parts."""
+    head = topics.agg(F.count("*").alias("topics"), F.coalesce(F.sum("size"), F.lit(0)).alias("records")).select(
+        F.lit(0).alias("n"), F.format_string("# Topics\n\n%d topics, %d records\n\n| Topic | Label | Records |\n|-|-|-|", "topics", F.col("records").cast("bigint")).alias("line")
+    )
+    rank = F.row_number().over(Window.orderBy(F.coalesce("size", F.lit(0)).desc(), "topic_id"))
+    name = F.coalesce("label", F.lit(""))
+    anchor = F.regexp_replace(F.regexp_replace(F.lower(F.concat(F.lit("topic "), F.col("topic_id").cast("string"), F.lit(": "), name)), r"[^\p{L}\p{N}_ -]", ""), " ", "-")
+    row = F.concat(F.lit("| ["), F.col("topic_id").cast("string"), F.lit("](#"), anchor, F.lit(") | "), F.regexp_replace(name, r"\|", "\\\\|"), F.lit(" | "), F.coalesce("size", F.lit(0)).cast("string"), F.lit(" |"))
+    return head.unionByName(topics.select(rank.alias("n"), row.alias("line")))
 
 
 def cluster(vectors: DataFrame, k: int, least: int = 10, seed: int = 42, dims: int = 5) -> DataFrame:
-    """``(id, topic_id)``: PCA and k-means over ``(id, embedding)``; clusters under ``least`` rows are outliers (-1), others numbered by size."""
+    """``(id, topic_id, probability)``: PCA and k-means over ``(id, embedding)``; clusters under ``least`` rows are outliers (-1), others numbered by size.
+
+    ``probability`` is 1 / (1 + distance to the centre). Null embeddings are left out; an empty table gives no row.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = vectors.where("embedding IS NOT NULL").select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    if not rows.limit(1).count():
+        return vectors.select("id", F.lit(OUTLIERS).alias("topic_id"), F.lit(0.0).alias("probability")).limit(0)
     reduced = PCA(k=dims, inputCol="v", outputCol="features").fit(rows).transform(rows)
-    found = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="c").fit(reduced).transform(reduced).select("id", "c")
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="c").fit(reduced)
+    centres = vectors.sparkSession.createDataFrame([(c, [float(x) for x in v]) for c, v in enumerate(model.clusterCenters())], "c int, centre array<double>")
+    placed = model.transform(reduced).select("id", "c", vector_to_array("features").alias("at")).join(F.broadcast(centres), "c")  # k rows
+    distance = F.sqrt(F.aggregate(F.zip_with("at", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    found = placed.select("id", "c", (1 / (1 + distance)).alias("probability"))
     sizes = found.groupBy("c").agg(F.count("*").alias("n"))
     number = F.when(F.col("n") >= least, F.row_number().over(Window.orderBy(F.desc("n"), "c")) - 1).otherwise(OUTLIERS)
-    return found.join(F.broadcast(sizes.select("c", number.alias("topic_id"))), "c").select("id", "topic_id")  # k rows
+    return found.join(F.broadcast(sizes.select("c", number.alias("topic_id"))), "c").select("id", "topic_id", "probability")  # k rows

@@ -30,9 +30,10 @@ def position_within(df: DataFrame, key: str, chunk: Column, order: list[Column])
 def utterances(transcript: DataFrame) -> DataFrame:
     """One row per utterance (its earliest load) with its position in the call; a null offset comes last."""
     rows = transcript.where("recordingId IS NOT NULL AND utterance_id IS NOT NULL").select(
-        "recordingId", "utterance_id", "offsetMs", F.col("speaker.inMeetingId").alias("speaker_id"), F.col("speaker.displayName").alias("speaker_name"), "text"
+        "recordingId", "utterance_id", "offsetMs", "durationMs", F.col("speaker.inMeetingId").alias("speaker_id"), F.col("speaker.displayName").alias("speaker_name"), "text", "loaded_at"
     )
-    unique = rows.dropDuplicates(["recordingId", "utterance_id"])
+    own = ("offsetMs", "durationMs", "speaker_id", "speaker_name", "text")
+    unique = rows.groupBy("recordingId", "utterance_id").agg(F.min(F.struct("loaded_at", *own)).alias("u")).select("recordingId", "utterance_id", *[f"u.{c}" for c in own])
     chunk = F.coalesce(F.floor(F.col("offsetMs") / CHUNK_MS), F.lit(2**40))
     return position_within(unique, "recordingId", chunk, [F.col("offsetMs").asc_nulls_last(), F.col("utterance_id")])
 
@@ -65,7 +66,10 @@ def windows(rows: DataFrame, size: int = SIZE, stride: int = STRIDE) -> DataFram
 
 
 def window_texts(rows: DataFrame, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
-    """Rendered windows with their quality figures; groups hold at most ``size`` utterances."""
+    """Rendered windows with their quality figures; groups hold at most ``size`` utterances.
+
+    ``first_ms`` is where the first utterance begins, ``last_ms`` where the last one ends.
+    """
     words = F.size(F.filter(F.split(strip(F.col("text")), rf"{SPACE}+"), lambda w: w != ""))
     seen = F.col("line").isNotNull()
     return (
@@ -75,6 +79,8 @@ def window_texts(rows: DataFrame, size: int = SIZE, stride: int = STRIDE) -> Dat
             F.count("*").alias("utterances"),
             F.min("offsetMs").alias("start_ms"),
             F.max("offsetMs").alias("end_ms"),
+            F.coalesce(F.min_by("offsetMs", "position"), F.lit(0)).alias("first_ms"),
+            F.max_by(F.coalesce("offsetMs", F.lit(0)) + F.coalesce("durationMs", F.lit(0)), "position").alias("last_ms"),
             F.sum(F.when(seen, nonspace_length(F.col("text"))).otherwise(0)).alias("nonspace_chars"),
             F.size(F.array_distinct(F.flatten(F.collect_list(F.when(seen, alphabetic_tokens(F.col("text"))))))).alias("unique_tokens"),
             F.count_if(seen & (words >= LONG_WORDS)).alias("long_utterances"),

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as S
+from brindle.functions.adf import adf_to_text
+from brindle.functions.stemming import plain, stem
 from brindle.operators import incidence as I
 from brindle.operators import index as X
 from brindle.operators import retrieval as R
 from brindle.operators import topics as T
 from brindle.operators import windows as W
-from brindle.operators.orphans import tidy_id
 from brindle.operators.packed import latest_by
 from brindle.sources.tables import checkpoint_dir, table
 from brindle.streaming.incremental import activity
@@ -56,6 +59,8 @@ def ticket_rows(spark: SparkSession, root: str) -> DataFrame:
 TICKETS = """tickets AS (SELECT TICKET_ID, TICKET_SUBJECT, TAG_LIST, CREATED_AT, TICKET_STATUS FROM (
   SELECT *, row_number() OVER (PARTITION BY TICKET_ID ORDER BY LOADED_AT DESC, TICKET_SUBJECT DESC NULLS LAST, TAG_LIST DESC NULLS LAST) AS rn
   FROM meta WHERE TICKET_ID IS NOT NULL) WHERE rn = 1)"""
+ASSIGNED = """assigned AS (SELECT record_id, topic_id, probability FROM (SELECT lower(trim(record_id, E' \\t\\n\\r')) AS record_id, topic_id, probability,
+  row_number() OVER (PARTITION BY lower(trim(record_id, E' \\t\\n\\r')) ORDER BY loaded_at DESC, topic_id DESC, probability DESC NULLS LAST) AS rn FROM record_topics WHERE record_id IS NOT NULL) WHERE rn = 1)"""
 # a JSON array of strings, else no tags
 TAGS = """tagged AS (SELECT *, CASE WHEN json_valid(TAG_LIST) AND json_type(CASE WHEN json_valid(TAG_LIST) THEN TAG_LIST ELSE 'null' END) = 'ARRAY'
   THEN list_filter(CAST(TAG_LIST AS JSON)::VARCHAR[], lambda t: t IS NOT NULL AND t <> '') ELSE [] END AS tags FROM tickets)"""
@@ -84,8 +89,27 @@ scored AS (SELECT id, -({terms}) AS bm25_raw FROM counted, st WHERE {found})
 SELECT {select} FROM scored {where} {order_limit}"""
 
 
-def _keyword(spark: SparkSession, root: str, question: str, **options) -> DataFrame:
-    scores = R.bm25_scores(table(spark, root, "documents"), "doc_id", question, **options)
+_INDEXES: dict[tuple, X.VersionedIndex] = {}
+
+
+def _index(spark: SparkSession, root: str, name: str) -> X.VersionedIndex:
+    """The search index of a table, built in the shared folder the first time a session asks for it, and again when the table's files are others."""
+    rows = table(spark, root, name)
+    at = rows.select("_metadata.file_path", "_metadata.file_modification_time").groupBy("file_path").agg(F.max("file_modification_time").alias("t"))
+    files = at.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("file_path", "t").cast("decimal(38, 0)")), F.lit(0))).first()
+    key = (spark.sparkContext.applicationId, name, *map(str, files))
+    if key not in _INDEXES:
+        index = X.VersionedIndex(spark, f"{checkpoint_dir(spark)}/search-{name}-{uuid4().hex}")
+        if name == "records":
+            index.publish({"records": live_records(spark, root), **X.search_datasets()})
+        else:
+            index.publish({"postings": X.postings(rows, "doc_id"), "doc_stats": X.doc_stats(rows, "doc_id")})
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+def _keyword(spark: SparkSession, root: str, question: str, stemming: bool = False) -> DataFrame:
+    scores = R.index_scores(_index(spark, root, "documents"), question, stemming=stemming)
     return R.top(scores, "bm25", K, ascending=True).select("id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -113,11 +137,11 @@ def bm25_stemmed(spark: SparkSession, root: str) -> DataFrame:
     return _keyword(spark, root, "exporting contacts synced", stemming=True)
 
 
-@query("bm25_topic_filter", bm25_sql(_words(QUESTION), "live", "id", ["title", "text"], where="WHERE id IN (SELECT lower(trim(record_id, E' \\t\\n\\r')) FROM record_topics WHERE topic_id = 1)", prefix=LIVE))
+@query("bm25_topic_filter", bm25_sql(_words(QUESTION), "live", "id", ["title", "text"], where="WHERE id IN (SELECT record_id FROM assigned WHERE topic_id = 1)", prefix=f"{LIVE}, {ASSIGNED}"))
 def bm25_topic_filter(spark: SparkSession, root: str) -> DataFrame:
     """The topic restricts the candidates before the top k."""
-    allowed = table(spark, root, "record_topics").where("topic_id = 1").select(tidy_id(F.col("record_id")).alias("id"))
-    scores = R.bm25_scores(live_records(spark, root), "id", QUESTION, allowed=allowed)
+    allowed = _assigned(spark, root).where("topic_id = 1").select(F.col("record_id").alias("id"))
+    scores = R.index_scores(_index(spark, root, "records"), QUESTION, allowed, stemming=False)
     return R.top(scores, "bm25", K, ascending=True).select("id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -171,10 +195,10 @@ def vector_search(spark: SparkSession, root: str) -> DataFrame:
     return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def _fused(spark: SparkSession, root: str) -> DataFrame:
+def _fused(spark: SparkSession, root: str, stemming: bool = False) -> DataFrame:
     pool = R.pool_size(K)
     v = R.top(R.vector_scores(table(spark, root, "embeddings"), "vec_id", "embedding", _query_vector(spark, root, 7)), "cosine", pool)
-    w = R.top(R.bm25_scores(table(spark, root, "documents"), "doc_id", QUESTION), "bm25", pool, ascending=True)
+    w = R.top(R.index_scores(_index(spark, root, "documents"), QUESTION, stemming=stemming), "bm25", pool, ascending=True)
     return R.fuse(v, w)
 
 
@@ -190,11 +214,17 @@ coalesce(1.0::DOUBLE / (61 + vr), 0) + coalesce(1.0::DOUBLE / (61 + wr), 0) AS r
 
 
 @query("hybrid_rrf", _FUSED + f"SELECT id, round(vector_score, 6) AS vector_score, round(bm25_score, 6) AS bm25_score, in_vector, in_keyword, round(rrf, 6) AS score, strong FROM fused ORDER BY rrf DESC, in_vector DESC, id LIMIT {K}")
-def hybrid_rrf(spark: SparkSession, root: str) -> DataFrame:
-    page = _fused(spark, root).orderBy(F.desc("rrf"), F.desc("in_vector"), "id").limit(K)
+def hybrid_rrf(spark: SparkSession, root: str, stemming: bool = False) -> DataFrame:
+    page = _fused(spark, root, stemming).orderBy(F.desc("rrf"), F.desc("in_vector"), "id").limit(K)
     return page.select("id", F.round("vector_score", 6).alias("vector_score"), F.round("bm25_score", 6).alias("bm25_score"), "in_vector", "in_keyword", F.round("rrf", 6).alias("score"), "strong")
 
 
+@query("hybrid_stemmed")
+def hybrid_stemmed(spark: SparkSession, root: str) -> DataFrame:
+    """As the command line searches: words count by their stems."""
+    return hybrid_rrf(spark, root, stemming=True)
+
+
 @query("strong_weak", _FUSED + f"SELECT sum(strong::BIGINT) AS strong_count, sum((NOT strong)::BIGINT) AS weak_count FROM (SELECT strong FROM fused ORDER BY rrf DESC, in_vector DESC, id LIMIT {K})")
 def strong_weak(spark: SparkSession, root: str) -> DataFrame:
     page = _fused(spark, root).orderBy(F.desc("rrf"), F.desc("in_vector"), "id").limit(K)
@@ -206,14 +236,15 @@ def strong_weak(spark: SparkSession, root: str) -> DataFrame:
 _DAY = "substr(json_extract_string(metadata, '$.call_date'), 1, 10)"
 
 
-def _dated_hits(spark: SparkSession, root: str) -> DataFrame:
-    """Keyword hits of the calls of a date range; the range is applied before the top k, which then joins the texts."""
-    records = live_records(spark, root)
-    dated = records.where(S.in_date_range(F.get_json_object("metadata", "$.call_date"), "2025-10-01", "2026-04-30"))
-    hits = R.top(R.bm25_scores(records, "id", QUESTION, allowed=dated), "bm25", 3 * K, ascending=True)
-    return hits.join(records.select("id", "parent_id", "title", "text"), "id").select(
+def _dated_hits(spark: SparkSession, root: str, stemming: bool = False) -> DataFrame:
+    """Keyword hits of the calls of a date range; the range is applied before the top k, which then fetches the texts of its few records."""
+    index = _index(spark, root, "records")
+    records = index.read("records")
+    dated = records.where(S.in_date_range(F.get_json_object("metadata", "$.call_date"), "2025-10-01", "2026-04-30")).select("id")
+    hits = R.top(R.index_scores(index, QUESTION, dated, stemming), "bm25", 3 * K, ascending=True)
+    return records.select("id", "parent_id", "title", "text").join(F.broadcast(hits), "id").select(
         "id", "parent_id", "title", "text", F.round(-F.col("bm25"), 6).alias("score"), F.lit(False).alias("in_vector"), F.lit(True).alias("in_keyword")
-    )
+    )  # hits are at most 3 * K rows
 
 
 _HITS = (
@@ -224,8 +255,13 @@ _HITS = (
 
 
 @query("search_page", _HITS + f"SELECT id, parent_id, score, substr(text, 1, 500) AS excerpt FROM hits ORDER BY score DESC, id LIMIT {K}")
-def search_page(spark: SparkSession, root: str) -> DataFrame:
-    return _dated_hits(spark, root).orderBy(F.desc("score"), "id").limit(K).select("id", "parent_id", "score", F.substring("text", 1, 500).alias("excerpt"))
+def search_page(spark: SparkSession, root: str, stemming: bool = False) -> DataFrame:
+    return _dated_hits(spark, root, stemming).orderBy(F.desc("score"), "id").limit(K).select("id", "parent_id", "score", F.substring("text", 1, 500).alias("excerpt"))
+
+
+@query("search_page_stemmed")
+def search_page_stemmed(spark: SparkSession, root: str) -> DataFrame:
+    return search_page(spark, root, stemming=True)
 
 
 @query(
@@ -295,16 +331,15 @@ _LATEST_CALL = "calls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 
 @query(
     "call_headers",
-    f"""WITH {_LATEST_CALL} SELECT id, coalesce(attributes.title, '') || chr(10) || 'account: ' || coalesce(nullif({_STRIP.format('a.name')}, ''), calls.account_id, '') || chr(10) || 'date: ' || coalesce(nullif(substr(attributes.createdAt, 1, 10), ''), '') || chr(10) || 'participants: ' ||
-coalesce(array_to_string(list_transform(attributes.participants, lambda p: coalesce(nullif(p.displayName, ''), nullif(p.firstName, ''), 'Unknown') || ' [' || coalesce(nullif(p."type", ''), 'UNKNOWN') || ']'), ', '), '') AS header,
+    f"""WITH {_LATEST_CALL} SELECT id, CASE WHEN {_STRIP.format('attributes.title')} <> '' THEN attributes.title ELSE 'recording ' || id END || chr(10) || 'account: ' || coalesce(nullif({_STRIP.format('a.name')}, ''), calls.account_id, '') || chr(10) || 'date: ' || CASE WHEN {_STRIP.format('substr(attributes.createdAt, 1, 10)')} <> '' THEN substr(attributes.createdAt, 1, 10) ELSE 'unknown' END || chr(10) || 'participants: ' ||
+coalesce(nullif(array_to_string(list_transform(list_filter(attributes.participants, lambda p: p IS NOT NULL), lambda p: coalesce(nullif(p.displayName, ''), nullif(p.firstName, ''), 'Unknown') || ' [' || coalesce(nullif(p."type", ''), 'UNKNOWN') || ']'), ', '), ''), 'unknown') AS header,
 nullif(attributes.mediaDurationSeconds, 0) AS duration_seconds FROM calls LEFT JOIN accounts a ON a.account_id = calls.account_id""",
 )
 def call_headers(spark: SparkSession, root: str) -> DataFrame:
     names = table(spark, root, "accounts").select("account_id", S.strip(F.col("name")).alias("account_name"))
     calls = latest_by(table(spark, root, "recording"), "id", "loaded_at", "account_id", "attributes").join(names, "account_id", "left")
     account = F.coalesce(F.when(F.length("account_name") > 0, F.col("account_name")), F.col("account_id"), F.lit(""))
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    header = S.call_header(blank(F.col("attributes.title")), account, blank(S.date_only(F.col("attributes.createdAt"))), S.participants(F.col("attributes.participants")))
+    header = S.call_header(F.col("id"), F.col("attributes.title"), account, S.date_only(F.col("attributes.createdAt")), S.participants(F.col("attributes.participants")))
     return calls.select("id", header.alias("header"), S.duration_seconds(F.col("attributes.mediaDurationSeconds")).alias("duration_seconds"))
 
 
@@ -321,12 +356,10 @@ def customer_voice_summary(spark: SparkSession, root: str) -> DataFrame:
     return I.voice_summary(I.voices(live_records(spark, root)))
 
 
-@query("speaker_stopwords", """SELECT DISTINCT word FROM (SELECT lower(unnest(list_concat(list_transform(regexp_split_to_array(name, '[\\s\\p{Z}]+'), lambda x: regexp_replace(x, '[^a-zA-Z]', '', 'g')), regexp_extract_all(name, '[a-zA-Z][a-zA-Z]+')))) AS word
-FROM (SELECT p.displayName AS name FROM (SELECT unnest(attributes.participants) AS p FROM recording)) WHERE name IS NOT NULL) WHERE length(word) >= 2""")
+@query("speaker_stopwords", """SELECT DISTINCT word FROM (SELECT unnest(list_concat(list_transform(regexp_split_to_array(name, '[\\s\\p{Z}]+'), lambda x: regexp_replace(x, '[^\\p{L}]', '', 'g')), regexp_extract_all(name, '[a-z][a-z]+'))) AS word
+FROM (SELECT lower(p.displayName) AS name FROM (SELECT unnest(attributes.participants) AS p FROM recording)) WHERE name IS NOT NULL) WHERE length(word) >= 2""")
 def speaker_stopwords(spark: SparkSession, root: str) -> DataFrame:
-    names = table(spark, root, "recording").select(F.explode("attributes.participants").alias("p")).select(F.col("p.displayName").alias("name")).where("name IS NOT NULL").distinct()
-    parts = F.concat(F.transform(F.split("name", rf"{S.SPACE}+"), lambda w: F.regexp_replace(w, "[^a-zA-Z]", "")), F.regexp_extract_all("name", F.lit("([a-zA-Z][a-zA-Z]+)"), 1))
-    return names.select(F.explode(parts).alias("word")).select(F.lower("word").alias("word")).where("length(word) >= 2").distinct()
+    return T.speaker_words(table(spark, root, "recording").select(F.explode("attributes.participants").alias("p")).select(F.col("p.displayName").alias("name")))
 
 
 # --- tickets: text, tags, incidence, dates ---------------------------------------------------------------------------
@@ -400,14 +433,31 @@ def date_range_inclusive(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("TICKET_ID").alias("ticket_id"), S.date_only(F.col("CREATED_AT")).alias("day"))
 
 
+_END = "[\\s\\p{Z}]+$"
+
+
+@query(
+    "rich_text",
+    f"""WITH {TICKETS}, {TAGS} SELECT TICKET_ID AS ticket_id, regexp_replace('## ' || regexp_replace(coalesce(TICKET_SUBJECT, ''), '{_END}', '') || chr(10) || chr(10) || coalesce(TICKET_STATUS, '') || chr(10) || chr(10) ||
+coalesce(array_to_string(list_transform(list_filter(tags, lambda t: regexp_replace(t, '{_END}', '') <> ''), lambda t: '- ' || regexp_replace(t, '{_END}', '') || chr(10)), ''), ''), '{_END}', '') AS text FROM tagged""",
+)
+def rich_text(spark: SparkSession, root: str) -> DataFrame:
+    """The text of document trees made of the tickets: a heading, a paragraph and a list of the tags."""
+    leaf = lambda c: F.to_json(F.struct(F.lit("text").alias("type"), c.alias("text")))
+    node = lambda kind, inner, more="": F.concat(F.lit(f'{{"type":"{kind}"{more},"content":['), inner, F.lit("]}"))
+    items = F.array_join(F.transform(S.json_tags(F.col("TAG_LIST")), lambda t: node("listItem", node("paragraph", leaf(t)))), ",")
+    parts = [node("heading", leaf(F.coalesce("TICKET_SUBJECT", F.lit(""))), ',"attrs":{"level":2}'), node("paragraph", leaf(F.coalesce("TICKET_STATUS", F.lit("")))), node("bulletList", items)]
+    return ticket_rows(spark, root).select(F.col("TICKET_ID").alias("ticket_id"), adf_to_text(node("doc", F.concat_ws(",", *parts))).alias("text"))
+
+
 # --- topics ----------------------------------------------------------------------------------------------------------
 
-_ASSIGNED = f"""WITH {LIVE}, assigned AS (SELECT record_id, topic_id, probability FROM (SELECT lower(trim(record_id, E' \\t\\n\\r')) AS record_id, topic_id, probability,
-  row_number() OVER (PARTITION BY lower(trim(record_id, E' \\t\\n\\r')) ORDER BY loaded_at DESC, topic_id DESC, probability DESC NULLS LAST) AS rn FROM record_topics WHERE record_id IS NOT NULL) WHERE rn = 1),
+_ASSIGNED = f"""WITH {LIVE}, {ASSIGNED},
 counts AS (SELECT parent_id, topic_id, count(*) AS n FROM assigned JOIN live ON live.id = assigned.record_id GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY n DESC, topic_id) AS rank, sum(n) OVER (PARTITION BY parent_id) AS total FROM counts),
 parents AS (SELECT parent_id, max(topic_id) FILTER (WHERE rank = 1) AS primary_topic_id, max(round(n / total, 4)) FILTER (WHERE rank = 1) AS primary_share, max(total)::BIGINT AS chunk_count,
-  coalesce(string_agg(topic_id || ':' || n, ',' ORDER BY rank) FILTER (WHERE rank > 1 AND rank <= 4), '') AS secondary FROM ranked WHERE rank <= 4 GROUP BY parent_id)
+  coalesce(string_agg(topic_id || ':' || n, ',' ORDER BY rank) FILTER (WHERE rank > 1 AND rank <= 4), '') AS secondary,
+  coalesce(string_agg(printf('%.4f', round(n / total, 4)), ',' ORDER BY rank) FILTER (WHERE rank > 1 AND rank <= 4), '') AS secondary_shares FROM ranked WHERE rank <= 4 GROUP BY parent_id)
 """
 
 
@@ -433,7 +483,8 @@ def topic_label_left_join(spark: SparkSession, root: str) -> DataFrame:
 
 @query("parent_topic_rollup", _ASSIGNED + "SELECT * FROM parents")
 def parent_topic_rollup(spark: SparkSession, root: str) -> DataFrame:
-    return _parents(spark, root).withColumn("secondary", F.array_join("secondary", ","))
+    shares = F.array_join(F.transform("secondary_shares", lambda s: F.format_string("%.4f", s)), ",")
+    return _parents(spark, root).withColumn("secondary", F.array_join("secondary", ",")).withColumn("secondary_shares", shares)
 
 
 @query("topic_top_recordings", _ASSIGNED + "SELECT topic_id, rank, parent_id, chunk_count, title FROM (SELECT primary_topic_id AS topic_id, parent_id, chunk_count, row_number() OVER (PARTITION BY primary_topic_id ORDER BY chunk_count DESC, parent_id) AS rank FROM parents) LEFT JOIN (SELECT parent_id, arg_min(title, id) AS title FROM live GROUP BY parent_id) USING (parent_id) WHERE rank <= 10")
@@ -485,20 +536,29 @@ def largest_topics(spark: SparkSession, root: str) -> DataFrame:
     return rows.orderBy(F.desc("size"), "topic_id").limit(5).select("topic_id", "label", "size")
 
 
-@query("topic_catalog")
+@query(
+    "topic_catalog",
+    _ASSIGNED
+    + _REPS
+    + f""", best AS (SELECT topic_id, rank, parent_id, chunk_count, title FROM (SELECT primary_topic_id AS topic_id, parent_id, chunk_count, row_number() OVER (PARTITION BY primary_topic_id ORDER BY chunk_count DESC, parent_id) AS rank FROM parents) LEFT JOIN (SELECT parent_id, arg_min(title, id) AS title FROM live GROUP BY parent_id) USING (parent_id) WHERE rank <= 10),
+said AS (SELECT id, {_STRIP.format("replace(text, chr(13), '')")} AS clean FROM live WHERE text IS NOT NULL)
+SELECT topic_id, 1 AS part, 0 AS place, '### Topic ' || topic_id || ': ' || coalesce(label, '') || chr(10) || '- **Size**: ' || coalesce(size, 0) || chr(10) || '- **Keywords**: ' || array_to_string(k[1:15], ', ') AS line FROM (SELECT *, {_KEYWORDS} AS k FROM topics)
+UNION ALL SELECT topic_id, 2, place, '- `' || record_id || '` - ' || CASE WHEN length(clean) > 600 THEN regexp_replace(substr(clean, 1, 600), '[\\s\\p{{Z}}]+$', '') || '…' ELSE clean END FROM reps JOIN said ON said.id = reps.record_id JOIN topics USING (topic_id)
+UNION ALL SELECT topic_id, 3, rank, '- ' || parent_id || ': ' || coalesce(title, '') || ' (' || chunk_count || ' chunks)' FROM best JOIN topics USING (topic_id)""",
+)
 def topic_catalog(spark: SparkSession, root: str) -> DataFrame:
     topics, records, assigned = table(spark, root, "topics"), live_records(spark, root), _assigned(spark, root)
-    return T.catalog_lines(topics, T.representatives(topics, assigned), records, T.top_parents(T.parent_topics(assigned, records), records))
+    return T.catalog_lines(topics, T.representatives(topics, assigned), records, T.top_parents(T.parent_topics(assigned, records), records)).withColumn("place", F.col("place").cast("bigint")).drop("order")
 
 
 @query("topic_clusters")
 def topic_clusters(spark: SparkSession, root: str) -> DataFrame:
-    return T.cluster(table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), k=20)
+    return T.cluster(table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), k=20).select("id", "topic_id")
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':42'), vec_id) AS rank FROM embeddings) WHERE rank <= 5")
 def hash_sample(spark: SparkSession, root: str) -> DataFrame:
-    return T.hash_sample(table(spark, root, "embeddings"), "label", "vec_id", 5).select("label", "vec_id", "rank")
+    return T.hash_sample(table(spark, root, "embeddings"), "label", "vec_id", 5).select("label", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 # --- index maintenance -----------------------------------------------------------------------------------------------
@@ -548,15 +608,28 @@ def index_counts(spark: SparkSession, root: str) -> DataFrame:
 SELECT id, 'text', unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) FROM live) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM toks GROUP BY term""",
 )
 def posting_stats(spark: SparkSession, root: str) -> DataFrame:
-    records = live_records(spark, root)
-    terms = [records.select("id", F.explode(S.index_tokens(F.col(f))).alias("term")) for f in ("title", "text")]
-    per = terms[0].unionByName(terms[1]).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return X.term_stats(_index(spark, root, "records").read("postings"), "term")
 
 
 @query("stem_stats")
 def stem_stats(spark: SparkSession, root: str) -> DataFrame:
-    return X.term_stats(X.postings(live_records(spark, root)))
+    return X.term_stats(_index(spark, root, "records").read("postings"))
+
+
+_PLACED = " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+')) AS term, unnest(range(len(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+')))) AS position FROM live WHERE {f} IS NOT NULL" for f in ("title", "text"))
+
+
+@query("term_postings", f"WITH {LIVE}, placed AS ({_PLACED}) SELECT term, id, field, string_agg(position, ',' ORDER BY position) AS positions FROM placed WHERE term IN ('contact', 'sync', 'export', 'drops', 'rows') GROUP BY term, id, field")
+def term_postings(spark: SparkSession, root: str) -> DataFrame:
+    """The postings of a question's words; the stems are pushed to the scan of the index."""
+    words = [w for p in R.parse_query(QUESTION) for w in p]
+    rows = _index(spark, root, "records").read("postings").where(F.col("stem").isin([stem(plain(w)) for w in words]) & F.col("term").isin(words))
+    return rows.select("term", "id", "field", F.array_join("positions", ",").alias("positions"))
+
+
+@query("record_lengths", f"WITH {LIVE} SELECT id, coalesce(len(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')), 0) + coalesce(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')), 0) AS words FROM live")
+def record_lengths(spark: SparkSession, root: str) -> DataFrame:
+    return _index(spark, root, "records").read("doc_stats").select("id", F.col("dl").cast("bigint").alias("words"))
 
 
 # --- events: JSON columns and streaming ------------------------------------------------------------------------------
@@ -579,8 +652,6 @@ def event_activity(spark: SparkSession, root: str) -> DataFrame:
 @query("stream_activity", _ACTIVITY)
 def stream_activity(spark: SparkSession, root: str) -> DataFrame:
     """The same counts from a stream over the files, finished windows written in update batches and read back."""
-    from uuid import uuid4
-
     work = f"{checkpoint_dir(spark)}/activity-{uuid4().hex}"
     schema = table(spark, root, "events").schema
     single = _single_file(spark, root)

@@ -1,7 +1,7 @@
 """Raw folders of the three corpora as DataFrames of logical documents.
 
 Every scan is a lazy file-source plan with an explicit schema; path parts and modification times
-come from ``_metadata``. A main file that cannot be read is dropped, a missing or broken
+come from ``_metadata``. A main file that cannot be read is dropped (``unreadable`` lists those), a missing or broken
 sidecar counts as empty.
 """
 
@@ -89,11 +89,11 @@ def call_transcripts(spark: SparkSession, root: str) -> DataFrame:
     recording, account = F.coalesce("recordingId", _part(1)), _part(3)
     people, day = participants(F.col("attributes.participants")), date_only(F.col("attributes.createdAt"))
     name = F.coalesce(strip(F.col("account_name")), F.lit(""))
-    title = F.coalesce(F.col("attributes.title"), F.concat(F.lit("recording "), recording))
+    title = F.coalesce(F.when(F.length(strip(F.col("attributes.title"))) > 0, F.col("attributes.title")), F.concat(F.lit("recording "), recording))
     return joined.select(
         F.concat(F.lit("call:"), recording).alias("id"),
         title.alias("title"),
-        call_header(title, F.coalesce(F.when(name != "", name), account), F.coalesce(day, F.lit("")), people).alias("text"),
+        call_header(recording, title, F.coalesce(F.when(name != "", name), account), day, people).alias("text"),
         F.struct(account.alias("account_id"), name.alias("account_name"), recording.alias("recording_id"), day.alias("call_date"), duration_seconds(F.col("attributes.mediaDurationSeconds")).alias("duration_seconds"), F.col("attributes.participantCount").alias("participant_count"), people.alias("participants"), F.col("attributes.title").alias("recording_title"), F.col("attributes.recordingUrl").alias("recording_url")).alias("metadata"),
         F.col("utterances"),
         "source_path",
@@ -115,6 +115,15 @@ def cr_tickets(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+MAIN_FILES = {"support_tickets": ("*/*/meta.json", TICKET), "call_transcripts": ("*/*/*/transcript.json", TRANSCRIPT), "cr_tickets": ("CR-*.json", CHANGE)}
+
+
+def unreadable(spark: SparkSession, corpus: str, root: str) -> DataFrame:
+    """``(source_path)`` of the main files of a corpus that are no JSON of its shape and so give no document."""
+    glob, schema = MAIN_FILES[corpus]
+    return _json(spark, f"{root}/{glob}", schema).where("_corrupt_record IS NOT NULL").select("source_path")
+
+
 def stopword_file(spark: SparkSession, path: str) -> DataFrame:
     """One lower-case word per line; blank lines and those behind ``#`` are left out."""
     word = F.lower(strip(F.col("value")))

@@ -13,10 +13,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a temporary one is set only where none is."""
+    """The shared checkpoint folder named by the session.
+
+    A temporary one is set only where none is named and all runs on this machine; on a cluster that is an error, since
+    the other machines could not read it.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
@@ -30,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows of an input of fewer splits than cores, dealt over the cores by a hash of ``key`` before work in Python; a larger input as it is.
 
-    For plain scans: counting the splits of a plan with shuffles would run them.
+    The rows are the same either way; only their place differs. For plain scans: counting the splits of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

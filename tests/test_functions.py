@@ -71,5 +71,41 @@ def test_rich_text():
         {"type": "codeBlock", "content": [t("x = 1")]}, {"type": "blockquote", "content": [p(t("q"))]}, {"type": "mediaSingle"},
         {"type": "table", "content": [{"type": "tableRow", "content": [{"type": "tableCell", "content": [p(t("c"))]}, {"type": "tableCell", "content": [p(t("d"))]}]}]},
         {"type": "odd", "content": [t("kept")]}]}
-    assert adf_text(json.dumps(doc)) == "###### Top\nsee (http://x)\n@ana\n3. a\n5. b\n  more\n```\nx = 1\n```\n> q\n| c | d |\nkept"
+    assert adf_text(json.dumps(doc)) == "###### Top\n\nsee (http://x)\n@ana\n\n3. a\n5. b\n   \n   more\n\n```\nx = 1\n```\n\n> q\n\nc | d\n\nkept"
     assert adf_text(None) is None and adf_text("{") is None and adf_text('"plain"') == "plain"
+
+
+def test_rich_text_nodes():
+    para = lambda *c: {"type": "paragraph", "content": list(c)}
+    t = lambda s: {"type": "text", "text": s}
+    a = lambda kind, **k: {"type": kind, "attrs": k}
+    inner = {"type": "bulletList", "content": [{"type": "listItem", "content": [para(t("x"))]}]}
+    cases = [
+        (para(a("mention", text="Ann")), "@Ann"),
+        (para(a("mention", displayName="@Bo")), "@Bo"),
+        (para(a("mention", id="7"), t("!")), "!"),
+        (para(a("emoji", shortName=":up:", text="^")), ":up:"),
+        (para(a("emoji", text="^")), "^"),
+        (para(t("see"), a("inlineCard", url="http://a"), t("now")), "see (http://a) now"),
+        ([para(t("a")), {"type": "rule"}, para(t("b"))], "a\n\n\nb"),
+        ({"type": "orderedList", "attrs": {"order": 10}, "content": [{"type": "listItem", "content": [para(t("one")), inner]}]}, "10. one\n    \n      - x"),
+        ({"type": "codeBlock", "content": [t("x "), a("emoji", text="no"), t("y\n")]}, "```\nx y\n```"),
+        ({"type": "table", "content": [{"type": "tableRow", "content": []}, {"type": "tableRow", "content": [{"type": "tableHeader", "content": [para(t("h"))]}]}]}, "h"),
+        (a("heading", level="x"), "#"),
+        ({"type": "blockquote", "content": [para(t("q")), para(t("r"))]}, "> q\n> \n> r"),
+        ({"type": "text", "text": None}, ""),
+        ([], ""),
+        (7, ""),
+    ]
+    for tree, wanted in cases:
+        assert adf_text(json.dumps(tree)) == wanted, tree
+
+
+def test_long_suffixes_are_whole(spark):
+    tags = ["support_topic_" + "x" * 20_000]
+    assert one(spark, S.suffixes(F.col("v"), "support_topic_"), v=tags) == ["x" * 20_000]
+
+
+def test_call_header_of_blanks(spark):
+    made = S.call_header(F.lit("5"), F.col("t"), F.lit("acme"), F.col("d"), S.participants(F.lit(None).cast("array<struct<inMeetingId:bigint,displayName:string,firstName:string,type:string>>")))
+    assert one(spark, made, t=" ", d=None) == "recording 5\naccount: acme\ndate: unknown\nparticipants: unknown"

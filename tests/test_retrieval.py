@@ -7,6 +7,7 @@ import sqlite3
 from pyspark.sql import functions as F
 
 from brindle.operators import retrieval as R
+from brindle.operators.index import VersionedIndex, search_datasets
 
 VOCABULARY = "sync export exports exported row rows check in check-in contact contacts drop the éclair eclair running run".split()
 
@@ -36,6 +37,24 @@ def test_bm25_with_stems_phrases_repeats_and_clamp_equals_fts5(spark):
         assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want), question
 
 
+def test_postings_give_the_same_scores(spark, tmp_path):
+    docs = spark.createDataFrame(corpus(), "id int, title string, text string")
+    index = VersionedIndex(spark, str(tmp_path / "idx"))
+    index.publish({"records": docs.withColumn("parent_id", F.lit("p")).withColumn("source_path", F.lit("s")), **search_datasets()})
+    some = docs.where("id % 7 = 0").select("id")
+    for question in ("sync", "sync sync drop", "check-in contacts", "the exporting", "run éclair", "nothing here", " x ! "):
+        for stemming in (False, True):
+            for allowed in (None, some):
+                got = {r["id"]: r["bm25"] for r in R.index_scores(index, question, allowed, stemming).collect()}
+                want = {r["id"]: r["bm25"] for r in R.bm25_scores(docs, "id", question, allowed=allowed, stemming=stemming).collect()}
+                assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want), question
+    plan = index.read("postings").where(F.col("stem").isin("sync", "row"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(stem, [" in plan
+    empty = VersionedIndex(spark, str(tmp_path / "empty"))
+    empty.publish({"records": docs.limit(0).withColumn("parent_id", F.lit("p")).withColumn("source_path", F.lit("s")), **search_datasets()})
+    assert R.index_scores(empty, "sync").count() == 0
+
+
 def test_filter_comes_before_the_top_k_and_empty_inputs(spark):
     docs = spark.createDataFrame(corpus(), "id int, title string, text string")
     some = docs.where("id % 7 = 0").select("id")
@@ -69,11 +88,13 @@ def test_vector_search_equals_brute_force_with_nulls_and_ties(spark):
     rng = random.Random(1)
     rows = [(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)] if i % 9 else None) for i in range(80)]
     vectors = spark.createDataFrame(rows, "id bigint, v array<float>").repartition(5)
-    got = {(r["query_id"], r["rank"]): r["id"] for r in R.vector_search(vectors, vectors.where("id % 20 = 0"), "id", "v", 5, dim=4).collect()}
-    for q, qv in rows:
-        if q % 20 == 0 and qv:
-            best = sorted((-round(sum(a * b for a, b in zip(qv, v)), 9), i) for i, v in rows if v)[:5]
-            assert [got[q, k + 1] for k in range(5)] == [i for _, i in best]
+    for blocks in ({}, {"row_block": 17, "query_block": 2}):
+        got = {(r["query_id"], r["rank"]): r["id"] for r in R.vector_search(vectors, vectors.where("id % 20 = 0"), "id", "v", 5, dim=4, **blocks).collect()}
+        for q, qv in rows:
+            if q % 20 == 0 and qv:
+                best = sorted((-round(sum(a * b for a, b in zip(qv, v)), 9), i) for i, v in rows if v)[:5]
+                assert [got[q, k + 1] for k in range(5)] == [i for _, i in best]
+    assert R.vector_search(vectors.limit(0), vectors.limit(0), "id", "v", 5, dim=4).count() == 0
 
 
 def test_parents_keep_three_excerpts_in_order(spark):

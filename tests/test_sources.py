@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pytest
 
 from brindle.operators.embedding import embedded, hashing_embedder, provider
-from brindle.operators.index import VersionedIndex, plan_build, postings, term_stats, upsert, without_sources
+from brindle.operators.index import VersionedIndex, plan_build, postings, search_datasets, term_stats, upsert, without_sources
+from brindle.operators.retrieval import bm25_scores, index_scores
 from brindle.sources.corpora import call_transcripts, cr_tickets, limited, stopword_file, support_tickets
-from brindle.streaming.incremental import follow_folder
+from brindle.streaming.incremental import follow_folder, merge_batch
 
 
 def write(path, value):
@@ -85,11 +87,48 @@ def test_incremental_equals_fresh_and_upsert_is_idempotent(spark, tmp_path):
 
 def test_stream_follows_a_folder(spark, tmp_path):
     folder, root = str(tmp_path / "in"), str(tmp_path / "idx")
-    records(spark, ("a1", "one", "a"), ("b1", "two", "b")).write.parquet(folder)
-    follow_folder(spark, folder, RECORDS, root, str(tmp_path / "cp")).awaitTermination()
-    records(spark, ("a1", "changed", "a")).selectExpr("id", "parent_id", "title", "text", "source_path", "source_mtime", "deleted_at").write.mode("append").parquet(folder)
-    follow_folder(spark, folder, RECORDS, root, str(tmp_path / "cp")).awaitTermination()
-    assert {r["id"]: r["text"] for r in VersionedIndex(spark, root).read("records").collect()} == {"a1": "changed", "b1": "two"}
+
+    def add(*rows):
+        spark.createDataFrame([(i, i[0], None, t, i[0], at, gone) for i, t, at, gone in rows], RECORDS).write.mode("append").parquet(folder)
+        follow_folder(spark, folder, RECORDS, root, str(tmp_path / "cp")).awaitTermination()
+        index = VersionedIndex(spark, root)
+        found = {r["id"]: r["bm25"] for r in index_scores(index, "one").collect()}
+        assert found == {r["id"]: r["bm25"] for r in bm25_scores(index.read("records"), "id", "one", stemming=True).collect()}
+        return {r["id"]: r["text"] for r in index.read("records").collect()}
+
+    day = lambda d: datetime(2026, 1, d)
+    assert add(("a1", "one", day(2), None), ("b1", "one two", day(2), None), ("c1", "one", None, None)) == {"a1": "one", "b1": "one two", "c1": "one"}
+    VersionedIndex(spark, root).publish({"topics": spark.createDataFrame([(1, "x")], "topic_id int, label string")}, {"batch_id": 0})
+    assert add(("a1", "changed one", day(3), None), ("b1", "late", day(1), None), ("c1", "timed", day(1), None)) == {"a1": "changed one", "b1": "one two", "c1": "timed"}
+    assert add(("b1", "one two", day(4), day(4))) == {"a1": "changed one", "c1": "timed"}
+    assert add(("b1", "older than its deletion", day(3), None)) == {"a1": "changed one", "c1": "timed"}
+    index = VersionedIndex(spark, root)
+    assert index.manifest()["batch_id"] == 3 and index.has("topics") and index.read("topics").count() == 1
+    assert merge_batch(index, spark.read.parquet(folder).limit(0)) == 6 and index.read("records").count() == 2
+
+
+def test_a_part_written_version_is_not_seen(spark, tmp_path):
+    index = VersionedIndex(spark, str(tmp_path / "idx"))
+    assert index.publish({"records": records(spark, ("a1", "one", "a"))}) == 1
+    records(spark, ("z1", "half", "z")).write.parquet(str(tmp_path / "idx" / "v=2" / "records"))  # a build that was lost
+    assert index.current() == 1 and [r["id"] for r in index.read("records").collect()] == ["a1"]
+    assert index.publish({"records": records(spark, ("b1", "two", "b"))}) == 3 and index.current() == 3
+    assert index.publish({}, keep=False) == 4 and not index.has("records")
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    base = hashing_embedder(8)
+
+    def counting(texts):
+        seen.add(len(texts))
+        return base(texts)
+
+    rows = records(spark, *((f"a{k}", "one two", "a") for k in range(6)))
+    vectors = embedded(rows, "id", "text", counting).select("id", "embedding")
+    index = VersionedIndex(spark, str(tmp_path / "idx"))
+    index.publish({"records": rows.join(vectors, "id", "left"), **search_datasets()})
+    assert seen.value == 6 and index.manifest()["doc_count"] == 6 and index.manifest()["token_count"] == 12
 
 
 def test_embedding_providers(spark):

@@ -23,12 +23,16 @@ WEIGHT_BUCKETS = 1 << 18
 _WORD = re.compile(r"[^\W\d_][\w'’-]+")
 COSINE = 0.78
 CELL_ROWS = 4000
+CENTRES = 1024
+SAMPLE_A_CENTRE = 32
+DEAL_ROWS = 65_536
 BLOCK_ROWS = 3000
 SEED_ROUNDS = 3
 LLOYD_ROUNDS = 2
 PAIR_ROWS = 32768
 SPREAD_ROWS = 4096
 _UNIT = "id string, vec array<float>"
+_CELL = _UNIT + ", cell long, block long"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -356,12 +360,65 @@ def _stitch(parts: DataFrame, cosine: float, dim: int) -> DataFrame:
             return labels
 
 
-def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM, centroids: bool = False) -> DataFrame:
+def _cells(vectors: DataFrame, n: int, dim: int, most_centres: int) -> DataFrame:
+    """``(id, vec, cell, block)``: k-means cells of about ``CELL_ROWS`` of the ``n`` rows, each in blocks of about ``BLOCK_ROWS`` by a hash of the id.
+
+    At most ``most_centres`` centres are found over all rows, which bounds the work of the driver and what goes to each task. Where that leaves
+    larger cells, each is parted again on the executors into at most as many, by k-means on about ``SAMPLE_A_CENTRE`` of its rows a centre (chosen by a hash of the id);
+    its rows are dealt over groups of about ``DEAL_ROWS`` to find their nearest centre. Cells only say which
+    rows are compared first: what a cell parts is joined again later, so the sample changes no result.
+    """
+    centres, sizes = kmeans(vectors, max(1, min(most_centres, math.ceil(n / CELL_ROWS))), dim)
+    blocks = np.maximum(1, np.ceil(sizes / BLOCK_ROWS)).astype(np.int64)
+    parts = np.clip(np.ceil(sizes / CELL_ROWS), 1, most_centres).astype(np.int64)
+    deals = np.maximum(1, np.ceil(sizes / DEAL_ROWS)).astype(np.int64)
+    two_levels = n > most_centres * CELL_ROWS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, _ = _nearest(matrix(batch.column(1), dim), centres)
+            block = (draws(batch.column(0), 9) * (deals if two_levels else blocks)[near]).astype(np.int64) if batch.num_rows else near
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(block)], names=["id", "vec", "cell", "block"])
+
+    placed = vectors.mapInArrow(place, _CELL)
+    if not two_levels:
+        return placed
+    placed = cut(placed)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column(2).to_numpy()
+            share = np.minimum(1.0, SAMPLE_A_CENTRE * parts[cell] / np.maximum(1, sizes[cell]))
+            yield batch.filter(pa.array(draws(batch.column(0), 21) < share if batch.num_rows else np.zeros(0, bool)))
+
+    def part(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        cell = group.column("cell")[0].as_py()
+        x = matrix(group.column("vec"), dim)
+        inner = _weighted_seeds(x, np.ones(len(x)), min(len(x), int(parts[cell])))
+        deal = np.repeat(np.arange(deals[cell]), len(inner))
+        return pa.table({"id": pa.nulls(len(deal), pa.string()), "vec": vector_column(np.tile(inner, (int(deals[cell]), 1))), "cell": pa.array(np.full(len(deal), cell)), "block": pa.array(deal)})
+
+    def assign(group: pa.Table) -> pa.Table:
+        centre = group.column("id").is_null()
+        rows, inner = group.filter(pc.invert(centre)), matrix(group.filter(centre).column("vec"), dim)
+        near = _nearest(matrix(rows.column("vec"), dim), inner)[0] if len(inner) else np.zeros(len(rows), np.int64)
+        cell = rows.column("cell").to_numpy() * (1 << 32) + near
+        return pa.table({"id": rows.column("id"), "vec": rows.column("vec"), "cell": pa.array(cell), "block": pa.array(np.zeros(len(rows), np.int64))})
+
+    inner = placed.mapInArrow(sample, _CELL).groupBy("cell").applyInArrow(part, _CELL)
+    finer = cut(placed.unionByName(inner).groupBy("cell", "block").applyInArrow(assign, _CELL)).drop("block")
+    counts = finer.groupBy("cell").agg(F.count("*").alias("n"))
+    place_in = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("n") / BLOCK_ROWS))
+    return finer.join(counts, "cell").select("id", "vec", "cell", place_in.alias("block"))
+
+
+def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM, centroids: bool = False, most_centres: int = CENTRES) -> DataFrame:
     """``(id, cluster, similarity, part, size)``: each row's cluster, its cosine with the centroid, and the cluster's size.
 
     ``cluster`` is the smallest id in it; the row of that id has the ``centroid``.
 
-    Coarse cells come from k-means over all rows (about ``CELL_ROWS`` rows a cell). A cell's rows are
+    Coarse cells come from k-means over all rows (about ``CELL_ROWS`` rows a cell, in two levels for many rows). A cell's rows are
     spread over blocks of about ``BLOCK_ROWS`` by a hash of the id, so a cluster that holds
     a third of all rows is worked on by many tasks; each block finds its parts by
     k-means, and only their sums, sizes and leads meet again in ``_stitch``.
@@ -375,14 +432,7 @@ def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM,
     n = vectors.count()
     if n == 0:
         return vectors.selectExpr("id", "id AS cluster", "id AS part", "1L AS size", "vec", "1D AS similarity", "vec AS centroid")
-    centres, sizes = kmeans(vectors, max(1, math.ceil(n / CELL_ROWS)), dim)
-    blocks = np.maximum(1, np.ceil(sizes / BLOCK_ROWS)).astype(np.int64)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near, _ = _nearest(matrix(batch.column(1), dim), centres)
-            block = (draws(batch.column(0), 9) * blocks[near]).astype(np.int64) if batch.num_rows else near
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(block)], names=["id", "vec", "cell", "block"])
+    placed = _cells(vectors, n, dim, most_centres)
 
     def fine(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
@@ -399,7 +449,6 @@ def cluster_members(vectors: DataFrame, cosine: float = COSINE, dim: int = DIM,
         rows = pa.table({"id": group.column("id"), "vec": vector_column(x), "part": pa.array(part, pa.string()), "n": pa.nulls(len(x), pa.int64()), "lead": pa.nulls(len(x), pa.list_(pa.float32()))})
         return pa.concat_tables([rows, ends])
 
-    placed = vectors.mapInArrow(place, _UNIT + ", cell long, block long")
     both = cut(placed.groupBy("cell", "block").applyInArrow(fine, _MEMBER))
     parts, rows = both.where("id IS NULL").drop("id"), both.where("id IS NOT NULL").drop("n", "lead")
     named = parts.join(_stitch(parts, cosine, dim), "part", "left").withColumn("cluster", F.coalesce("cluster", "part"))

@@ -26,6 +26,10 @@ def test_equals_brute_force_with_a_hot_group(spark, monkeypatch):
     got = {tuple(r) for r in C.tight_clusters(C.cluster_members(C.unit_vectors(df, "id", "embedding"))).collect()}
     want = {(f"g{g:03d}-0000", i) for i, _ in rows for g in [int(i[1:4])] if sum(j.startswith(i[:5]) for j, _ in rows) >= 5}
     assert got == want
+    monkeypatch.setattr(C, "DEAL_ROWS", 100)
+    monkeypatch.setattr(C, "SAMPLE_A_CENTRE", 8)
+    two_levels = C.cluster_members(C.unit_vectors(df, "id", "embedding"), most_centres=2)
+    assert {tuple(r) for r in C.tight_clusters(two_levels).collect()} == want
     described = {r["cluster_key"]: r for r in C.describe_clusters(C.cluster_members(C.unit_vectors(df, "id", "embedding"))).collect()}
     assert described["g000-0000"]["size"] == 400 and len(described["g001-0000"]["typical_ids"]) == 3
 

@@ -28,8 +28,9 @@ _PREFIX = r"[ \t]*(?:(?:[>|*#+•–-]|\d{1,4}[.):|]|//)[ \t]*)*"
 _BROKEN = re.compile(rf"(?<=[^\W_])[-‐‑][ \t]*\r?\n{_PREFIX}(?=[^\W_])")
 _LINE = re.compile(rf"^{_PREFIX}(?:[\[(<]?\d{{1,2}}:\d\d(?::\d\d)?[\])>]?[ \t]*)?", re.M)
 _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]{0,80})?/?>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
-_WORDS = re.compile(r"[^\W_]+(?:[-‐‑'’][^\W_]+)*")
-_JOINT = re.compile(r"[-‐‑'’]")
+_JOINT = re.compile(r"(?<=[^\W_])[-‐‑'’](?=[^\W_])")
+_WORDS = re.compile(r"[^\W_]+")
+_ASCII_WORDS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 # Fixed value: scripts written without blanks (kana, ideographs, Thai, Lao, Myanmar, Khmer); each sign counts as a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
@@ -49,7 +50,8 @@ def plain_words(text: str | None) -> list[str]:
     text = _LINE.sub("", text)
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
-    return [_JOINT.sub("", w) if not w.isalnum() else w for w in _WORDS.findall(text)]
+    text = _JOINT.sub("", text)
+    return text.translate(_ASCII_WORDS).split() if text.isascii() else _WORDS.findall(text)
 
 
 class Numbers:

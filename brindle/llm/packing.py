@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.tokens import VOCABULARY, token_count
+from brindle.llm.tokens import share, token_count, VOCABULARY
 from brindle.sources.tables import cut, spread
 
 CAPACITY = 2048
@@ -103,6 +103,7 @@ def fill_containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary:
     and each shard leaves at most one badly filled container. Null texts are
     left out; an empty text is an item of size 0; repeated rows of a document count once.
     """
+    share(documents.sparkSession, vocabulary)
     items = cut(sized_items(documents, capacity, vocabulary))
     shards = max(1, math.ceil(items.count() / shard_items))
 

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.tokens import SPLIT, VOCABULARY, count, encoding
+from brindle.llm.tokens import SPLIT, VOCABULARY, count, encoding, share
 from brindle.sources.tables import cut, spread
 
 LIMIT = 512
@@ -252,6 +252,7 @@ def split_oversized(
     """
     if not (0 <= 2 * overlap < limit and limit >= SPARE):
         raise ValueError("the overlap must be less than half the limit, and the limit no less than SPARE")
+    share(documents.sparkSession, vocabulary)
     # a text has at most as many tokens as bytes
     large = one_row_each(spread(documents.select("doc_id", "text"), "doc_id"), "doc_id", "text").where(F.octet_length("text") > limit)
     small = large.where(F.char_length("text") <= giant_ranges * range_chars)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import pandas as pd
 import tiktoken
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -18,12 +20,21 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 
 @lru_cache(maxsize=4)
 def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
-    """The tokenizer of a vocabulary file of ranks; loaded once per Python worker."""
-    with open(path, "rb") as lines:
+    """The tokenizer of a vocabulary file of ranks; loaded once per Python worker.
+
+    A machine without the file takes the copy that ``share`` sent along.
+    """
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def share(spark: SparkSession, path: str = VOCABULARY) -> str:
+    """Sends a vocabulary file to every machine of the application; further calls do nothing."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
 def count(text: str, path: str = VOCABULARY) -> int:
     """Tokens of a text; strings of special tokens are ordinary text."""
     return len(encoding(path).encode_ordinary(text))

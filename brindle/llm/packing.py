@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.tokens import share, token_count, VOCABULARY
+from brindle.llm.tokens import VOCABULARY, share, token_count
 from brindle.sources.tables import cut, spread
 
 CAPACITY = 2048

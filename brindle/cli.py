@@ -63,6 +63,10 @@ def flattened(spark: SparkSession, corpus: str, root: str) -> DataFrame:
     )
 
 
+def provider_options(a: argparse.Namespace) -> dict[str, object]:
+    return {"http": {"url": a.url, "model": a.model}, "model": {"model": a.model}}.get(a.provider, {})
+
+
 def build(spark: SparkSession, a: argparse.Namespace) -> dict:
     index = VersionedIndex(spark, f"{a.index}/{a.corpus}")
     sources = CORPORA[a.corpus](spark, a.root).select("source_path", F.col("source_mtime").alias("mtime"))
@@ -77,19 +81,22 @@ def build(spark: SparkSession, a: argparse.Namespace) -> dict:
         counts["unreadable"] = bad
     if a.check or a.dry_run:
         return counts | ({"records": flattened(spark, a.corpus, a.root).count()} if a.dry_run else {})
-    todo = plan.where("state IN ('new', 'changed')").orderBy("source_path")
+    todo = plan.where("state IN ('new', 'changed')").select("source_path")
+    again = index.read("skipped").select("source_path") if a.retry_skipped and known and index.has("skipped") else todo.limit(0)
+    todo = todo.unionByName(again.join(plan.where("state = 'unchanged'"), "source_path", "left_semi")).distinct().orderBy("source_path")
     todo = todo.limit(a.limit) if a.limit else todo
-    fresh = flattened(spark, a.corpus, a.root).join(todo.select("source_path"), "source_path", "left_semi")
-    vectors = embedded(fresh, "id", "text", provider(a.provider, **({"url": a.url, "model": a.model} if a.provider == "http" else {})))
+    fresh = flattened(spark, a.corpus, a.root).join(todo, "source_path", "left_semi")
+    vectors = embedded(fresh, "id", "text", provider(a.provider, **provider_options(a)))
     fresh = fresh.join(vectors.select("id", "embedding", "error"), "id", "left")
     records = fresh
     if known:
-        gone = plan.where("state = 'deleted'").select("source_path").unionByName(todo.select("source_path"))
+        gone = plan.where("state = 'deleted'").select("source_path").unionByName(todo)
         kept = without_sources(index.read("records"), gone)
         records = upsert(kept, fresh.select(kept.columns))
-    done = sources.join(todo.select("source_path"), "source_path", "left_semi").unionByName(stored.join(plan.where("state = 'unchanged'").select("source_path"), "source_path", "left_semi"))
+    unchanged = plan.where("state = 'unchanged'").select("source_path").join(todo, "source_path", "left_anti")
+    done = sources.join(todo, "source_path", "left_semi").unionByName(stored.join(unchanged, "source_path", "left_semi"))
     meta = {"corpus": a.corpus, "provider": a.provider, "model": a.model, "pipeline_version": PIPELINE_VERSION}
-    version = index.publish({"records": records, **search_datasets(), "sources": done}, meta, keep=not a.fresh)
+    version = index.publish({"records": records, **search_datasets(), "sources": done, "skipped": lambda written: written.where("error IS NOT NULL").select("id", "source_path", "error")}, meta, keep=not a.fresh)
     return counts | {"version": version} | {k: v for k, v in index.manifest().items() if k.endswith("_count")}
 
 
@@ -115,7 +122,7 @@ def ranked_page(spark: SparkSession, index: VersionedIndex, a: argparse.Namespac
     pool = retrieval.pool_size(a.k)
     keyword = retrieval.top(retrieval.index_scores(index, a.question, allowed), "bm25", pool, ascending=True)
     if a.mode != "keyword":
-        query = embedded(spark.createDataFrame([("q", a.question)], "id string, text string"), "id", "text", provider(a.provider), prefix="search_query: ").first()["embedding"]
+        query = embedded(spark.createDataFrame([("q", a.question)], "id string, text string"), "id", "text", provider(a.provider, **provider_options(a)), prefix="search_query: ").first()["embedding"]
         vectors = records if allowed is None else records.join(allowed, "id", "left_semi")
         near = retrieval.top(retrieval.vector_scores(vectors, "id", "embedding", query), "cosine", pool)
     else:
@@ -164,7 +171,7 @@ def build_topics(spark: SparkSession, a: argparse.Namespace) -> dict:
 
     index = VersionedIndex(spark, f"{a.index}/{a.corpus}")
     records = index.read("records")
-    assigned = cut(topics.cluster(records.select("id", "embedding"), a.topics, a.least).withColumnRenamed("id", "record_id"))
+    assigned = cut(topics.cluster(records.select("id", "embedding"), a.topics, a.least, sample=a.sample).withColumnRenamed("id", "record_id"))
     words = spark.createDataFrame([(w,) for w in {*StopWordsRemover.loadDefaultStopWords("english"), *topics.FILLER_WORDS, *a.stopword}], "word string")
     if a.stopwords_file:
         words = words.unionByName(stopword_file(spark, a.stopwords_file))
@@ -178,7 +185,13 @@ def build_topics(spark: SparkSession, a: argparse.Namespace) -> dict:
     described = topics.topic_sizes(assigned).join(lists, "topic_id", "left").join(ids, "topic_id", "left")
     named = described.join(topics.labelled_topics(described).select("topic_id", "label"), "topic_id").withColumn("description", F.lit(None).cast("string"))
     version = index.publish({"topics": named, "record_topics": assigned, "parent_topics": topics.parent_topics(assigned, records)}, index_facts(index))
-    return {"version": version, "topics": index.read("topics").count()}
+    answer = {"version": version, "topics": index.read("topics").count()}
+    if a.inspect:  # a few texts of the largest topics, the same in every run
+        largest = named.where(F.col("topic_id") != topics.OUTLIERS).orderBy(F.desc("size"), "topic_id").limit(5).select("topic_id")
+        drawn = topics.hash_sample(index.read("record_topics").join(largest, "topic_id", "left_semi"), "topic_id", "record_id", a.inspect)
+        shown = drawn.join(records.select(F.col("id").alias("record_id"), S.snippet(F.col("text"), 800).alias("text")), "record_id")
+        answer["samples"] = rows_of(shown.orderBy("topic_id", "rank").select("topic_id", "record_id", "text"))
+    return answer
 
 
 def catalog(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -222,13 +235,13 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--index", required=True)
         if name == "build":
             s.add_argument("--root", required=True)
-            s.add_argument("--model", default="")
-            s.add_argument("--url", default="http://localhost:11434")
             s.add_argument("--limit", type=int)
-            for flag in ("check", "dry-run", "fresh"):
+            for flag in ("check", "dry-run", "fresh", "retry-skipped"):
                 s.add_argument(f"--{flag}", action="store_true")
         if name in ("build", "search", "incidence"):
             s.add_argument("--provider", default="hashing")
+            s.add_argument("--model", default="")
+            s.add_argument("--url", default="http://localhost:11434")
         if name == "search":
             s.add_argument("question")
             s.add_argument("--group", action="store_true")
@@ -245,6 +258,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "topics":
             s.add_argument("--topics", type=int, default=20)
             s.add_argument("--least", type=int, default=10)
+            s.add_argument("--sample", type=float)
+            s.add_argument("--inspect", type=int, default=0)
             s.add_argument("--stopword", action="append", default=[])
             s.add_argument("--stopwords-file")
         if name == "catalog":

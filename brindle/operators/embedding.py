@@ -20,7 +20,10 @@ Embed = Callable[[list[str]], np.ndarray]
 
 
 def hashing_embedder(dim: int = 64) -> Embed:
-    """Signed word hashing with a fixed dimension; needs no model and gives the same vector everywhere."""
+    """Signed word hashing with a fixed dimension; needs no model and gives the same vector everywhere.
+
+    A stand-in for tests and dry runs: near words are not near in it.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
@@ -34,8 +37,11 @@ def hashing_embedder(dim: int = 64) -> Embed:
     return embed
 
 
-def http_embedder(url: str, model: str, attempts: int = 3, pause: float = 1.0, timeout: float = 300.0) -> Embed:
-    """A server that takes ``{"model", "input"}`` at ``/api/embed``, or one text at a time at ``/api/embeddings``; retries with growing pauses."""
+def http_embedder(url: str, model: str, attempts: int = 3, pause: float = 1.0, timeout: float = 300.0, dim: int | None = None) -> Embed:
+    """A server that takes ``{"model", "input"}`` at ``/api/embed``, or one text at a time at ``/api/embeddings``; retries with growing pauses.
+
+    With ``dim``, vectors of another dimension are an error.
+    """
 
     def post(path: str, body: dict) -> dict:
         request = urllib.request.Request(url + path, json.dumps(body).encode(), {"Content-Type": "application/json"})
@@ -60,12 +66,31 @@ def http_embedder(url: str, model: str, attempts: int = 3, pause: float = 1.0, t
             vectors = [post("/api/embeddings", {"model": model, "prompt": t})["embedding"] for t in texts]
         if len(vectors) != len(texts):
             raise ValueError("as many vectors as texts are wanted")
+        if dim is not None and any(len(v) != dim for v in vectors):
+            raise ValueError(f"vectors of {dim} numbers are wanted")
         return np.array(vectors, float)
 
     return embed
 
 
-PROVIDERS: dict[str, Callable[..., Embed]] = {"hashing": hashing_embedder, "http": http_embedder}
+def model_embedder(model: str, batch: int = 96, most_tokens: int = 2048) -> Embed:
+    """A sentence-transformers model, loaded once per Python worker on its first batch; needs that library on the executors."""
+    held: dict[str, object] = {}
+
+    def embed(texts: list[str]) -> np.ndarray:
+        if "model" not in held:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as e:
+                raise RuntimeError("the provider 'model' needs the library sentence-transformers") from e
+            held["model"] = SentenceTransformer(model, trust_remote_code=True)
+            held["model"].max_seq_length = min(most_tokens, held["model"].max_seq_length or most_tokens)
+        return np.asarray(held["model"].encode(texts, batch_size=batch, show_progress_bar=False), float)
+
+    return embed
+
+
+PROVIDERS: dict[str, Callable[..., Embed]] = {"hashing": hashing_embedder, "http": http_embedder, "model": model_embedder}
 
 
 def provider(name: str, **options: object) -> Embed:

@@ -224,10 +224,12 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, min_score: float = MIN
 def group_by_parent(hits: DataFrame, excerpts: int = 3, shown: int = 500) -> DataFrame:
     """One row per parent of scored hits ``(id, parent_id, title, text, score, in_vector, in_keyword)``.
 
-    Best score, membership flags by OR, title of the best hit, and up to three excerpts in order of rank.
+    Best score, membership flags by OR, title of the best hit, and up to three excerpts in order of rank; of ``metadata``,
+    ``vector_score`` and ``bm25_score``, where the hits have them, those of the best hit.
     The hits are a top-k list, which bounds the lists collected here.
     """
-    hit = F.struct((-F.col("score")).alias("order"), F.col("id"), F.col("title"), F.substring("text", 1, shown).alias("text"))
+    more = [c for c in ("metadata", "vector_score", "bm25_score") if c in hits.columns]
+    hit = F.struct((-F.col("score")).alias("order"), F.col("id"), F.col("title"), F.substring("text", 1, shown).alias("text"), *more)
     grouped = hits.groupBy("parent_id").agg(
         F.max("score").alias("score"),
         F.bool_or("in_vector").alias("in_vector"),
@@ -237,6 +239,7 @@ def group_by_parent(hits: DataFrame, excerpts: int = 3, shown: int = 500) -> Dat
     return grouped.select(
         "parent_id", "score", "in_vector", "in_keyword",
         F.col("hits")[0]["title"].alias("title"),
+        *[F.col("hits")[0][c].alias(c) for c in more],
         F.transform(F.slice("hits", 1, excerpts), lambda h: h["id"]).alias("excerpt_ids"),
         F.transform(F.slice("hits", 1, excerpts), lambda h: h["text"]).alias("excerpts"),
     )

@@ -163,10 +163,11 @@ def catalog_head(topics: DataFrame) -> DataFrame:
     return head.unionByName(topics.select(rank.alias("n"), row.alias("line")))
 
 
-def cluster(vectors: DataFrame, k: int, least: int = 10, seed: int = 42, dims: int = 5) -> DataFrame:
+def cluster(vectors: DataFrame, k: int, least: int = 10, seed: int = 42, dims: int = 5, sample: float | None = None) -> DataFrame:
     """``(id, topic_id, probability)``: PCA and k-means over ``(id, embedding)``; clusters under ``least`` rows are outliers (-1), others numbered by size.
 
-    ``probability`` is 1 / (1 + distance to the centre). Null embeddings are left out; an empty table gives no row.
+    ``probability`` is 1 / (1 + distance to the centre). With ``sample``, a share of the rows chosen by a hash of their id, the models are fitted
+    on those and applied to all. Null embeddings are left out; an empty table gives no row.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
@@ -175,8 +176,10 @@ def cluster(vectors: DataFrame, k: int, least: int = 10, seed: int = 42, dims: i
     rows = vectors.where("embedding IS NOT NULL").select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     if not rows.limit(1).count():
         return vectors.select("id", F.lit(OUTLIERS).alias("topic_id"), F.lit(0.0).alias("probability")).limit(0)
-    reduced = PCA(k=dims, inputCol="v", outputCol="features").fit(rows).transform(rows)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="c").fit(reduced)
+    drawn = rows if sample is None else rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1_000_000)) < int(sample * 1_000_000))
+    components = PCA(k=dims, inputCol="v", outputCol="features").fit(drawn)
+    reduced = components.transform(rows)
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="c").fit(components.transform(drawn))
     centres = vectors.sparkSession.createDataFrame([(c, [float(x) for x in v]) for c, v in enumerate(model.clusterCenters())], "c int, centre array<double>")
     placed = model.transform(reduced).select("id", "c", vector_to_array("features").alias("at")).join(F.broadcast(centres), "c")  # k rows
     distance = F.sqrt(F.aggregate(F.zip_with("at", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))

@@ -151,6 +151,17 @@ def topic_search(spark: SparkSession, root: str) -> DataFrame:
     return R.top(scores, "bm25", K, ascending=True).select("id", F.round("bm25", 6).alias("bm25"))
 
 
+@query(
+    "topic_search_rows",
+    bm25_sql(_words("webhook sync contact"), "topics", "topic_id", ["label", "keywords_json", "description"], order_limit="ORDER BY bm25, topic_id LIMIT 10", select="topic_id, label, size, keywords_json, round(bm25_raw, 4) AS bm25").replace("FROM scored", "FROM scored JOIN topics ON topics.topic_id = scored.id"),
+)
+def topic_search_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The topics that match a question, with what is known of them."""
+    topics = table(spark, root, "topics")
+    hits = R.top(R.bm25_scores(topics, "topic_id", "webhook sync contact", fields=("label", "keywords_json", "description")), "bm25", K, ascending=True)
+    return topics.join(F.broadcast(hits.withColumnRenamed("id", "topic_id")), "topic_id").select("topic_id", "label", "size", "keywords_json", F.round("bm25", 4).alias("bm25"))  # hits are K rows
+
+
 @query(
     "query_tokens",
     f"WITH {TICKETS} SELECT TICKET_ID AS ticket_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM (SELECT TICKET_ID, list_filter(list_transform(regexp_extract_all(TICKET_SUBJECT, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'), lambda x: lower(x)), lambda x: len(x) > 1) AS t FROM tickets WHERE TICKET_SUBJECT IS NOT NULL)",
@@ -242,15 +253,15 @@ def _dated_hits(spark: SparkSession, root: str, stemming: bool = False) -> DataF
     records = index.read("records")
     dated = records.where(S.in_date_range(F.get_json_object("metadata", "$.call_date"), "2025-10-01", "2026-04-30")).select("id")
     hits = R.top(R.index_scores(index, QUESTION, dated, stemming), "bm25", 3 * K, ascending=True)
-    return records.select("id", "parent_id", "title", "text").join(F.broadcast(hits), "id").select(
-        "id", "parent_id", "title", "text", F.round(-F.col("bm25"), 6).alias("score"), F.lit(False).alias("in_vector"), F.lit(True).alias("in_keyword")
+    return records.select("id", "parent_id", "title", "text", "metadata").join(F.broadcast(hits), "id").select(
+        "id", "parent_id", "title", "text", "metadata", F.round("bm25", 6).alias("bm25_score"), F.round(-F.col("bm25"), 6).alias("score"), F.lit(False).alias("in_vector"), F.lit(True).alias("in_keyword")
     )  # hits are at most 3 * K rows
 
 
 _HITS = (
     bm25_sql(_words(QUESTION), "live", "id", ["title", "text"], prefix=LIVE, where=f"WHERE id IN (SELECT id FROM live WHERE TRY_CAST({_DAY} AS DATE) BETWEEN DATE '2025-10-01' AND DATE '2026-04-30')", order_limit=f"ORDER BY bm25_raw, id LIMIT {3 * K}", select="id, bm25_raw")
     .replace("SELECT id, bm25_raw FROM scored WHERE", ", kw AS (SELECT id, bm25_raw FROM scored WHERE")
-    + "), hits AS (SELECT kw.id, parent_id, title, text, round(-bm25_raw, 6) AS score FROM kw JOIN live USING (id))\n"
+    + "), hits AS (SELECT kw.id, parent_id, title, text, metadata, round(bm25_raw, 6) AS bm25_score, round(-bm25_raw, 6) AS score FROM kw JOIN live USING (id))\n"
 )
 
 
@@ -267,12 +278,12 @@ def search_page_stemmed(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "group_by_parent",
     _HITS
-    + f"""SELECT parent_id, max(score) AS score, arg_min(title, (-score, id)) AS title, string_agg(id, ',' ORDER BY rn) FILTER (WHERE rn <= 3) AS excerpt_ids
+    + f"""SELECT parent_id, max(score) AS score, arg_min(title, (-score, id)) AS title, arg_min(bm25_score, (-score, id)) AS bm25_score, arg_min(metadata, (-score, id)) AS metadata, string_agg(id, ',' ORDER BY rn) FILTER (WHERE rn <= 3) AS excerpt_ids
 FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, id) AS rn FROM hits) GROUP BY parent_id ORDER BY score DESC, parent_id LIMIT {K}""",
 )
 def group_by_parent(spark: SparkSession, root: str) -> DataFrame:
     grouped = R.group_by_parent(_dated_hits(spark, root)).orderBy(F.desc("score"), "parent_id").limit(K)
-    return grouped.select("parent_id", "score", "title", F.array_join("excerpt_ids", ",").alias("excerpt_ids"))
+    return grouped.select("parent_id", "score", "title", "bm25_score", "metadata", F.array_join("excerpt_ids", ",").alias("excerpt_ids"))
 
 
 # --- calls: utterances, windows, voices ------------------------------------------------------------------------------

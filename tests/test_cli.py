@@ -41,7 +41,9 @@ def test_build_search_topics_incidence(spark, capsys, tmp_path):
     assert run(spark, capsys, "incidence", *common)[1]["impact_p1"] == 1
     asked = run(spark, capsys, "incidence", *common, "--question", "webhook", "--mode", "keyword")[1]
     assert [h["id"] for h in asked["hits"]] == ["support:11"] and asked["hits"][0]["incidence"]["business_impact"] == "P1" and asked["summary"]["results_returned"] == 1
-    assert run(spark, capsys, "topics", *common, "--topics", "2", "--least", "1")[1]["version"] == 2
+    fitted = run(spark, capsys, "topics", *common, "--topics", "2", "--least", "1", "--inspect", "1")[1]
+    assert fitted["version"] == 2 and len(fitted["samples"]) == fitted["topics"] == 2
+    assert run(spark, capsys, "build", *common, "--root", root, "--retry-skipped", "--check")[1] == {"unchanged": 3}
     (tmp_path / "raw" / "202601" / "13" / "body.md").unlink()
     (tmp_path / "raw" / "202601" / "13" / "meta.json").unlink()
     corpus(tmp_path / "raw", {"14": "the dialer drops calls"})

@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 import sqlite3
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as S
@@ -101,6 +103,13 @@ def test_rich_text_nodes():
         assert adf_text(json.dumps(tree)) == wanted, tree
 
 
+def test_unit_length(spark):
+    unit = spark.sql("SELECT array(3D, 4D) AS v, array(0D, 0D) AS z")
+    assert unit.select(S.l2_normalized(F.col("v")).alias("u")).first()["u"] == [0.6, 0.8]
+    with pytest.raises(Exception, match="without direction"):
+        unit.select(S.l2_normalized(F.col("z"))).collect()
+
+
 def test_long_suffixes_are_whole(spark):
     tags = ["support_topic_" + "x" * 20_000]
     assert one(spark, S.suffixes(F.col("v"), "support_topic_"), v=tags) == ["x" * 20_000]

@@ -145,3 +145,4 @@ def test_embedding_providers(spark):
     assert got["2"]["error"] == "no text" and got["3"]["error"] == "no"
     with pytest.raises(ValueError):
         provider("other")
+    assert [r["error"] is not None and "sentence-transformers" in r["error"] for r in embedded(rows.where("id = '1'"), "id", "text", provider("model", model="none")).collect()] in ([True], [False])

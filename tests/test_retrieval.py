@@ -42,12 +42,10 @@ def test_postings_give_the_same_scores(spark, tmp_path):
     index = VersionedIndex(spark, str(tmp_path / "idx"))
     index.publish({"records": docs.withColumn("parent_id", F.lit("p")).withColumn("source_path", F.lit("s")), **search_datasets()})
     some = docs.where("id % 7 = 0").select("id")
-    for question in ("sync", "sync sync drop", "check-in contacts", "the exporting", "run éclair", "nothing here", " x ! "):
-        for stemming in (False, True):
-            for allowed in (None, some):
-                got = {r["id"]: r["bm25"] for r in R.index_scores(index, question, allowed, stemming).collect()}
-                want = {r["id"]: r["bm25"] for r in R.bm25_scores(docs, "id", question, allowed=allowed, stemming=stemming).collect()}
-                assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want), question
+    for question, stemming, allowed in (("sync sync drop", False, None), ("check-in contacts", True, some), ("check-in rows", False, None), ("run éclair the", True, None), ("nothing here", True, None), (" x ! ", True, None)):
+        got = {r["id"]: r["bm25"] for r in R.index_scores(index, question, allowed, stemming).collect()}
+        want = {r["id"]: r["bm25"] for r in R.bm25_scores(docs, "id", question, allowed=allowed, stemming=stemming).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want), question
     plan = index.read("postings").where(F.col("stem").isin("sync", "row"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(stem, [" in plan
     empty = VersionedIndex(spark, str(tmp_path / "empty"))
